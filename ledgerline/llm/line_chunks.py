@@ -31,7 +31,7 @@ def chunks_of(text: Column) -> Column:
 
     def marked(lines: Column, hashes: Column) -> Column:
         flags = F.array_join(F.transform(hashes, lambda h, i: F.when(F.pmod(h * FACTOR + F.coalesce(F.get(hashes, i - 1), F.lit(0)), F.lit(DIVISOR)) == 0, "1").otherwise("0")), "")
-        ends = F.split(F.regexp_replace(flags, "[01](0*)1", "0$11"), "")
+        ends = F.split(F.regexp_replace(flags, "[01](0*)(1|$)", "0$1$2"), "")
         last = F.size(lines) - 1
         return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("x"), x, F.when((F.get(ends, i) == "1") & (i < last), "\n").otherwise(""))), "\n")
 
@@ -68,35 +68,35 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, and two columns more: __chunks and __kept (arrays).
+    """(row, chunks, kept) of every row of docs: the row as a struct, so that no column can clash, all its chunks and those that stay.
 
     Defined results: null texts stay null and take no part; an empty text is one empty line; rows with a
     null doc_id are returned as they are; rows that repeat a doc_id and text share their chunks' places,
     so neither loses what the other keeps; a document may end up with an empty text but no row is dropped.
     """
-    gone = repeats(docs).withColumnRenamed("doc_id", "__id")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("__id"), "left").select(*cols, "gone", chunks_of(F.col("text")).alias("__chunks"))
-    marks = F.transform("__chunks", lambda c, i: F.concat_ws(":", i, F.xxhash64(c)))
-    kept = F.transform(F.array_except(marks, F.col("gone")), lambda m: F.get(F.col("__chunks"), F.split_part(m, F.lit(":"), F.lit(1)).cast("int")))
-    named = named.withColumn("__kept", F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("__chunks")).otherwise(kept)).drop("gone")
-    others = docs.where("doc_id IS NULL").select(*cols, chunks_of(F.col("text")).alias("__chunks")).withColumn("__kept", F.col("__chunks"))
-    return named.unionByName(others)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.where("row.doc_id IS NOT NULL").join(repeats(docs), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "gone", chunks_of(F.col("row.text")).alias("chunks"))
+    marks = F.transform("chunks", lambda c, i: F.concat_ws(":", i, F.xxhash64(c)))
+    left = F.transform(F.array_except(marks, F.col("gone")), lambda m: F.get(F.col("chunks"), F.split_part(m, F.lit(":"), F.lit(1)).cast("int")))
+    named = named.select("row", "chunks", F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(left).alias("kept"))
+    others = rows.where("row.doc_id IS NULL").select("row", chunks_of(F.col("row.text")).alias("chunks"))
+    return named.unionByName(others.withColumn("kept", F.col("chunks")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs with repeated chunks removed; n_chars, where present, follows the text."""
-    out = without_repeats(docs).withColumn("text", F.when(F.col("text").isNotNull(), text_of(F.col("__kept"))))
+    text = F.when(F.col("row.text").isNotNull(), text_of(F.col("kept")))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return without_repeats(docs).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
     """op8: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_md5 (of the text that is left) of every document."""
     both = without_repeats(docs.select("doc_id", "text"))
     lines = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + line_count(x))
-    out = both.select("doc_id", lines("__chunks").alias("a"), lines("__kept").alias("b"), F.size("__chunks").alias("c"), F.size("__kept").alias("d"), F.when(F.col("text").isNotNull(), F.md5(text_of(F.col("__kept")).cast("binary"))).alias("kept_md5"))
+    out = both.select("row.doc_id", lines("chunks").alias("a"), lines("kept").alias("b"), F.size("chunks").alias("c"), F.size("kept").alias("d"), F.when(F.col("row.text").isNotNull(), F.md5(text_of(F.col("kept")).cast("binary"))).alias("kept_md5"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select("doc_id", zero(F.col("a")).alias("n_lines"), zero(F.greatest("c", F.lit(0))).alias("n_chunks"), zero(F.col("c") - F.col("d")).alias("n_removed_chunks"), zero(F.col("a") - F.col("b")).alias("n_removed_lines"), "kept_md5")
 
@@ -106,7 +106,7 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE
 h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
 f AS (
   SELECT doc_id, ls, regexp_replace(array_to_string(list_transform(generate_series(1, len(hs)),
-    lambda i: CASE WHEN (hs[i] * 31 + CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) % 2 = 0 THEN '1' ELSE '0' END), ''), '[01](0*)1', '0\\11', 'g') AS ends
+    lambda i: CASE WHEN (hs[i] * 31 + CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) % 2 = 0 THEN '1' ELSE '0' END), ''), '[01](0*)(1|$)', '0\\1\\2', 'g') AS ends
   FROM h),
 p AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line, ends FROM f),
 c AS (

@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return pa.RecordBatch.from_arrays([pa.array([scorer.features(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     got = map_slices(sample, run, "x array<double>, y int", lambda: Scorer(lexicon)).collect()
-    return Model(lexicon, logistic(np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got], dtype=float)))
+    return Model(lexicon, logistic(np.array([r["x"] for r in got], dtype=float).reshape(-1, len(OUTPUTS) + 1), np.array([r["y"] for r in got], dtype=float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
