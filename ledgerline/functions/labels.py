@@ -37,3 +37,20 @@ def flags(text: Column) -> Column:
 def safe_number(text: Column, kind: str) -> Column:
     """'' is null, never zero; other text must be a number of the kind."""
     return F.nullif(text, F.lit("")).cast(kind)
+
+
+def canonical_class(raw: Column) -> Column:
+    """'NON - MD  1 ' -> 'NON-MD1': upper case, no blanks around hyphens or before digits, single blanks."""
+    out = F.upper(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+    return F.regexp_replace(F.regexp_replace(out, r" ?- ?", "-"), r" (\d)", "$1")
+
+
+def split_class(canonical: Column) -> tuple[Column, Column]:
+    """Band and metering class of 'A NON-MD1'; a class without a band has a null band."""
+    band = F.nullif(F.regexp_extract(canonical, r"^([A-E]) ", 1), F.lit(""))
+    return band, F.regexp_replace(canonical, r"^[A-E] ", "")
+
+
+def segments(text: Column, mark: str) -> Column:
+    """Texts between marks, without empty ones."""
+    return F.filter(F.transform(F.split(text, mark), lambda x: F.trim(x)), lambda x: x != "")

@@ -41,7 +41,7 @@ def spearman_pairs(df: DataFrame, item: str, metric: str, value: str) -> DataFra
 
 def eta_squared(df: DataFrame, metric: str, factor: str, value: str) -> DataFrame:
     """Share of a metric's variance that lies between the levels of the factor: sums of squares from counts, sums and sums of squares."""
-    level = df.groupBy(metric, factor).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    grand = level.groupBy(metric).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
-    parts = level.join(grand, metric).groupBy(metric).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))
-    return parts.select(metric, F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_sq"))
+    level = df.groupBy(metric, factor).agg(F.count("*").alias("__n"), F.avg(value).alias("__mean"), F.var_pop(value).alias("__var"))
+    grand = level.groupBy(metric).agg((F.sum(F.col("__n") * F.col("__mean")) / F.sum("__n")).alias("__grand"))
+    parts = level.join(grand, metric).groupBy(metric).agg(F.sum(F.col("__n") * F.pow(F.col("__mean") - F.col("__grand"), 2)).alias("__between"), F.sum(F.col("__n") * F.col("__var")).alias("__within"))
+    return parts.select(metric, F.try_divide(F.col("__between"), F.col("__between") + F.col("__within")).alias("eta_sq"))
