@@ -1,21 +1,25 @@
 """SimHash near-duplicate groups by anchor-point covering.
 
-A 64-bit fingerprint is projected on two fields of 23 bits. Anchors are the pairs of words of the
-perfect binary Golay code (length 23, covering radius 3). Every fingerprint x has one home anchor,
-at distance 3 or less in each field. If y differs from x in at most t = 2 bits, the home of x lies
-within radius 3 + e1 and 3 + e2 of y, with e1 + e2 <= t. So y is replicated to each anchor with that
-covering radius plus threshold, homes and replicas meet in an equi-join on the anchor, and
-bit_count(x XOR y) decides. No pair within the threshold can be missed.
-
-Only distinct fingerprints are replicated (61 anchors each on average), so exact copies cost one row
-whatever their number. A fingerprint has at most 64 + 2016 others within two bits, which bounds the
-links by the input. Groups come from alternating large-star and small-star rounds over the links.
+A 64-bit fingerprint is projected on fields of bits, each with a perfect binary code: the Golay code on
+23 bits (covering radius 3), the Hamming code on 15 (radius 1). Anchors are the tuples of code words.
+Every fingerprint x has one home anchor, within the covering radius in each field. If y differs from x
+in at most t = 2 bits, the home of x lies within radius + e of y in each field, where the excesses e add
+up to t or less. So y is replicated to each anchor within the covering radius plus the threshold, homes
+and replicas meet in an equi-join on the anchor, and bit_count(x XOR y) decides. No pair within the
+threshold can be missed.
+
+Only distinct fingerprints are replicated, so exact copies cost one row whatever their number. Two Golay
+fields make 61 replicas and 2^24 anchors; a third, Hamming field makes 153 and 2^35. Both find
+the same pairs; the number of distinct fingerprints decides which compares and moves fewer rows. A
+fingerprint has at most 64 + 2016 others within two bits, which bounds the links by the input. Groups
+come from alternating large-star and small-star rounds over the links.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,23 @@ from ledgerline.llm.common import cut, map_slices
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-FIELD = 23
-RADIUS = 3
-GOLAY = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
+
+
+class Field(NamedTuple):
+    """A run of bits of the fingerprint and the perfect cyclic code on it."""
+
+    shift: int
+    width: int
+    generator: int
+    radius: int
+
+
+GOLAY_LOW = Field(0, 23, 0b110001110101, 3)
+GOLAY_HIGH = Field(23, 23, 0b110001110101, 3)
+HAMMING = Field(46, 15, 0b10011, 1)
+TWO, THREE = (GOLAY_LOW, GOLAY_HIGH), (GOLAY_LOW, GOLAY_HIGH, HAMMING)
+#: Distinct fingerprints from which the third field pays: 61 n (1 + n / 2^24) rows against 153 n (1 + n / 2^35).
+MANY = 25_000_000
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -63,64 +81,65 @@ def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
-def _syndrome(words: np.ndarray) -> np.ndarray:
-    left = words.astype(np.int64).copy()
-    for bit in range(FIELD - 1, 10, -1):
-        left ^= np.where((left >> bit) & 1, GOLAY << (bit - 11), 0)
+def _syndrome(words: np.ndarray, field: Field) -> np.ndarray:
+    """Remainder of the words as polynomials modulo the generator."""
+    left, degree = words.astype(np.int64), field.generator.bit_length() - 1
+    for bit in range(field.width - 1, degree - 1, -1):
+        left = left ^ np.where((left >> bit) & 1, field.generator << (bit - degree), 0)
     return left
 
 
 @lru_cache(maxsize=None)
-def _patterns(excess: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each syndrome, the error patterns that lead to anchors at excess over the radius: offsets and patterns."""
-    weights = range(RADIUS + 1) if excess == 0 else [RADIUS + excess]
-    errors = np.array([sum(1 << b for b in bits) for w in weights for bits in combinations(range(FIELD), w)], dtype=np.int64)
-    of = _syndrome(errors)
-    order = np.argsort(of, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=1 << 11))]), errors[order]
-
-
-def _near(field: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and code words at the given excess from each value of field."""
-    offsets, errors = _patterns(excess)
-    s = _syndrome(field)
+def _patterns(field: Field, excess: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome, the error patterns that lead to code words at the excess over the radius: offsets and patterns."""
+    weights = range(field.radius + 1) if excess == 0 else [field.radius + excess]
+    errors = np.array([sum(1 << b for b in bits) for w in weights for bits in combinations(range(field.width), w)], dtype=np.int64)
+    of = _syndrome(errors, field)
+    counts = np.bincount(of, minlength=1 << (field.generator.bit_length() - 1))
+    return np.concatenate([[0], np.cumsum(counts)]), errors[np.argsort(of, kind="stable")]
+
+
+def _near(bits: np.ndarray, field: Field, excess: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and code words at the given excess from each value of bits."""
+    offsets, errors = _patterns(field, excess)
+    s = _syndrome(bits, field)
     n = offsets[s + 1] - offsets[s]
-    row = np.repeat(np.arange(len(field)), n)
+    row = np.repeat(np.arange(len(bits)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return row, field[row] ^ errors[np.repeat(offsets[s], n) + inside]
+    return row, bits[row] ^ errors[np.repeat(offsets[s], n) + inside]
 
 
-def anchors(fps: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, spare: int, fields: tuple[Field, ...] = TWO) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and anchors whose excesses over the covering radius add up to spare or less."""
-    mask = (1 << FIELD) - 1
-    low, high = fps & mask, (fps >> FIELD) & mask
-    rows, found = [], []
-    for e1 in range(spare + 1):
-        r1, c1 = _near(low, e1)
-        for e2 in range(spare + 1 - e1):
-            r2, c2 = _near(high[r1], e2)
-            rows.append(r1[r2])
-            found.append((c1[r2] << FIELD) | c2)
+    if not fields:
+        return np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64)
+    field, rows, found = fields[0], [], []
+    bits = (fps >> field.shift) & ((1 << field.width) - 1)
+    for excess in range(spare + 1):
+        row, word = _near(bits, field, excess)
+        more, rest = anchors(fps[row], spare - excess, fields[1:])
+        rows.append(row[more])
+        found.append((word[more] << field.shift) | rest)
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _at_anchors(nodes: DataFrame, spare: int) -> DataFrame:
+def _at_anchors(nodes: DataFrame, spare: int, fields: tuple[Field, ...]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
-        row, anchor = anchors(fps, spare)
+        row, anchor = anchors(fps, spare, fields)
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[row])], names=["anchor", "fp"])
 
     return map_slices(nodes.select("fp"), run, "anchor long, fp long")
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, fields: tuple[Field, ...] = TWO) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints that differ in max_bits bits or fewer.
 
-    A pair comes once: from a's only home anchor, among the replicas of b. max_bits is 2 or less
-    in practice, as replicas grow fast with it.
+    A pair comes once: from a's only home anchor, among the replicas of b. Replicas grow fast with
+    max_bits, so it is meant for two or less.
     """
-    home = _at_anchors(nodes, 0).withColumnRenamed("fp", "a")
-    copies = _at_anchors(nodes, max_bits).withColumnRenamed("fp", "b")
+    home = _at_anchors(nodes, 0, fields).withColumnRenamed("fp", "a")
+    copies = _at_anchors(nodes, max_bits, fields).withColumnRenamed("fp", "b")
     return home.join(copies, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
 
@@ -156,8 +175,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE)
     (null if there is none); an empty table gives no rows.
     """
     prints = cut(with_fingerprints(docs, k), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = cut(components(links(nodes, max_bits)), "simhash-roots")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    fields = THREE if nodes.count() > MANY else TWO
+    roots = cut(components(links(nodes, max_bits, fields)), "simhash-roots")
     member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = member.join(of_root, "root").select("fp", "component_id")
