@@ -374,9 +374,10 @@ def test_links_and_components_equal_all_pairs(spark):
     signed = lambda f: f - 2**64 if f >> 63 else f
     nodes = spark.createDataFrame([(signed(f),) for f in prints], "fp bigint")
     want = {tuple(sorted((signed(a), signed(b)))) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 2}
-    edges = simhash.links(nodes)
-    got = [tuple(r) for r in edges.collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for fields in (simhash.THREE, simhash.TWO):
+        edges = simhash.links(nodes, fields=fields)
+        got = [tuple(r) for r in edges.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     by_hand = groups_by_hand(prints)
     least = {}
@@ -394,17 +395,18 @@ def test_documents_get_the_smallest_id_they_reach(spark, docs, texts):
     assert got == {d: (f"{f:016x}", least[roots[f]]) for d, f in prints.items()}
 
 
-def test_covering_radius_and_reach():
+@pytest.mark.parametrize("fields", [simhash.TWO, simhash.THREE])
+def test_covering_radius_and_reach(fields):
     rng = np.random.default_rng(4)
     x = rng.integers(-(2**63), 2**63 - 1, size=300)
-    row, home = simhash.anchors(x, 0)
+    row, home = simhash.anchors(x, 0, fields)
     assert sorted(row) == list(range(300))
     for bits in (1, 2):
         y = x.copy()
         for i in range(300):
             for b in rng.choice(64, bits, replace=False):
                 y[i] ^= np.array(1 << int(b), dtype=np.uint64).view(np.int64)
-        r, a = simhash.anchors(y, 2)
+        r, a = simhash.anchors(y, 2, fields)
         reached = set(zip(r.tolist(), a.tolist(), strict=True))
         assert all((i, h) in reached for i, h in zip(row.tolist(), home.tolist(), strict=True))
 
