@@ -68,20 +68,19 @@ def grams(alphabet: Alphabet, texts: list[str | None], p: int) -> tuple[np.ndarr
             pending, held = [], 0
 
     for i, text in enumerate(texts):
-        points = _points(text)
+        points, tail = _points(text), np.zeros(1, np.int64)  # a blank goes before the first letter
         for at in range(0, len(points), WINDOW):
-            ids = alphabet.number[points[max(0, at - 2 * p) : at + WINDOW]].astype(np.int64)
-            ids = ids[np.append(True, (ids[1:] > 0) | (ids[:-1] > 0))]
-            if at == 0:
-                ids = np.append(0, ids)[int(ids[0] == 0) :]
-            if len(ids) and ids[-1] and at + WINDOW >= len(points):
+            ids = np.concatenate([tail, alphabet.number[points[at : at + WINDOW]]])
+            if at + WINDOW >= len(points):
                 ids = np.append(ids, 0)
+            ids = ids[np.append(True, (ids[1:] > 0) | (ids[:-1] > 0))]
             if len(ids) >= p and ids.any():
                 code = ids[: len(ids) - p + 1].copy()
                 for k in range(1, p):
                     code = code * alphabet.size + ids[k : len(ids) - p + 1 + k]
                 pending.append(code + i * size)
                 held += len(code)
+            tail = ids[-max(p - 1, 1) :]
             if held >= WINDOW:
                 flush()
     flush()
@@ -133,8 +132,8 @@ def learn(texts: list[str | None], langs: list[str], landmarks: int = LANDMARKS)
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model | None:
     """Fit in one task on at most `rows` rows with a lang, outside the held-out remainder; the model reaches the driver."""
-    ids = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id").distinct()
-    chosen = F.broadcast(sample_rows(ids, "doc_id", rows))
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id")
+    chosen = F.broadcast(sample_rows(ids, "doc_id", rows).distinct())
     sample = cut(docs.select("doc_id", "text", "lang").where("lang IS NOT NULL").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
