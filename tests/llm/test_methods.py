@@ -154,7 +154,7 @@ def test_kernel_equals_counting():
 
 def test_long_texts_are_read_whole(monkeypatch):
     model = language.learn(["ab ba abba", "xy yx xyxy"], ["l", "r"], 2)
-    text = "ab ba xy " * 50 + "zz"
+    text = "ab ba xy " * 50 + "zz" + " " * 70 + "a"
     want = model.kernel([text, "x"])
     monkeypatch.setattr(language, "WINDOW", 16)
     assert np.allclose(model.kernel([text, "x"]), want)
