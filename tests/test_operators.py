@@ -133,3 +133,18 @@ def test_entry_gives_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_only_listed_relationships_may_be_joined(spark):
+    from ledgerline.plans.extracts import related
+
+    assert related(spark, "/root/testdata/sf0.001", "orders", "customer", "nation").count() == 1500
+    with pytest.raises(ValueError, match="no relationship"):
+        related(spark, "/root/testdata/sf0.001", "orders", "part")
+
+
+def test_class_labels(spark):
+    band, kind = labels.split_class(labels.canonical_class(F.col("x")))
+    rows = spark.createDataFrame([(" a  non - md  1 ",), ("MD2",), (None,)], "x string")
+    assert [tuple(r) for r in rows.select(band, kind).collect()] == [("A", "NON-MD1"), (None, "MD2"), (None, None)]
+    assert one(spark, labels.segments(F.col("x"), "/"), rows=[("/a 10/ /b/",), ("",), (None,)]) == [["a 10", "b"], [], None]
