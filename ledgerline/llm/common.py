@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -39,8 +41,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package's sources to the executors, once an application, so that their Python finds it wherever they run."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="spark-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def map_slices(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str | T.StructType, once: Callable[[], Any] | None = None) -> DataFrame:
-    """mapInArrow in slices of SLICE_ROWS rows: fn(batch), or fn(once(), batch) with once() called once a task."""
+    """map_batches in slices of SLICE_ROWS rows: fn(batch), or fn(once(), batch) with once() called once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (once(),) if once else ()
@@ -48,7 +72,7 @@ def map_slices(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str | T
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield fn(*first, batch.slice(at, SLICE_ROWS))
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def remainder(key: Column, k: int) -> Column:

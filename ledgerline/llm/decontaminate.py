@@ -13,7 +13,7 @@ from typing import NamedTuple
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerline.llm.common import map_slices
 
@@ -131,8 +131,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> Dat
     normalised characters are not searched for; repeated rows give repeated rows; repeated items with one
     id give their least distance; no items or no documents give no rows. Whole texts are searched.
     """
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, distance int, allowed int"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, distance int, allowed int"
     out = None
     for block in blocks(benchmark) or [[]]:
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -145,9 +145,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> Dat
                     best[item_id] = min(best.get(item_id, (distance, allowed)), (distance, allowed))
                 rows += [(doc_id, item_id, *b) for item_id, b in best.items()]
             ids, items, far, most = zip(*rows, strict=True) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(items, pa.int64()), pa.array(far, pa.int32()), pa.array(most, pa.int32())], names=["doc_id", "item_id", "distance", "allowed"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(items, item_type), pa.array(far, pa.int32()), pa.array(most, pa.int32())], names=["doc_id", "item_id", "distance", "allowed"])
 
-        found = map_slices(docs.select("doc_id", "text"), run, schema.replace(f"item_id {item_kind}", "item_id bigint"), lambda shared=shared: Finder(shared.value, rate)).withColumn("item_id", F.col("item_id").cast(item_kind))
+        found = map_slices(docs.select("doc_id", "text"), run, schema, lambda shared=shared: Finder(shared.value, rate))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, map_slices, remainder, sample_rows
+from ledgerline.llm.common import cut, map_batches, map_slices, remainder, sample_rows
 
 #: Labelled rows of the sample, and landmarks among them, at most.
 TRAIN_ROWS, LANDMARKS = 1500, 96
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) ->
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn([t for t, _ in rows], [x for _, x in rows], landmarks))], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model binary").collect()
+    got = map_batches(sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id"), run, "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
 

@@ -12,6 +12,7 @@ apart; the task keeps the ids of stretches it has met, within a bound.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -72,38 +73,37 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         n = len(text)
-        best, back, piece = [0.0] + [None] * n, [0] * (n + 1), [-1] * (n + 1)
+        best, back, piece = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
+        unknown = not self.single.issuperset(text)
         done = 0  # positions up to here are settled
-
-        def settle(upto: int) -> None:
-            """A character that is no piece by itself can always be left unknown."""
-            nonlocal done
-            while done < upto:
-                done += 1
-                if text[done - 1] not in self.single:
-                    score = best[done - 1] + self.unk_score
-                    if best[done] is None or score > best[done]:
-                        best[done], back[done], piece[done] = score, done - 1, -1
-
         for end, (length, gain, i) in self.automaton.iter(text):
-            settle(end)
+            if unknown and done < end:
+                self._settle(text, best, back, piece, done, end)
+                done = end
             end += 1
             score = best[end - length] + gain
-            if best[end] is None or score > best[end]:
-                best[end], back[end], piece[end] = score, end - length, i
-        settle(n)
+            if score > best[end]:
+                best[end], back[end], piece[end] = score, length, i
+        if unknown:
+            self._settle(text, best, back, piece, done, n)
         out: list[int] = []
         while n:
-            out += [piece[n]] if piece[n] >= 0 else self._unknown(text[back[n] : n])
-            n = back[n]
+            out += [piece[n]] if piece[n] >= 0 else self._unknown(text[n - 1])
+            n -= back[n]
         return out[::-1]
 
+    def _settle(self, text: str, best: list[float], back: list[int], piece: list[int], start: int, stop: int) -> None:
+        """Between start and stop, a character that is no piece by itself ends as unknown if no piece ends there better."""
+        for at in range(start, stop):
+            if text[at] not in self.single and best[at] + self.unk_score > best[at + 1]:
+                best[at + 1], back[at + 1], piece[at + 1] = best[at] + self.unk_score, 1, -1
+
     def _unknown(self, char: str) -> list[int]:
         """Ids of an unknown character, last first."""
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")][::-1] if self.byte else [self.unk]
 
     def _of(self, stretch: str) -> bytes:
-        found = np.array(self.viterbi(stretch), dtype=np.int32).tobytes()
+        found = array("i", self.viterbi(stretch)).tobytes()
         if len(stretch) <= KEPT_CHARS:
             if len(self.kept) >= KEPT:
                 self.kept.clear()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, labelled, map_slices, remainder
+from ledgerline.llm.common import cut, labelled, map_batches, map_slices, remainder
 
 #: Labelled rows that the model is trained on, at most.
 TRAIN_ROWS = 6000
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     vectors = map_slices(sample, sparse, f"doc_id {kind}, at array<int>, x array<float>, y int", Columns)
-    got = vectors.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(learn, "w binary").collect()
+    got = map_batches(vectors.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id"), learn, "w binary").collect()
     return np.frombuffer(bytes(got[0]["w"]), dtype=np.float32) if got else np.zeros(1 << BITS, np.float32)
 
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, map_slices
+from ledgerline.llm.common import cut, map_batches, map_slices
 
 #: Rank file of a byte-level vocabulary; on a cluster, any path that Spark reads. Its first free id ends a document.
 RANKS_PATH = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -75,7 +75,7 @@ def write_flat(docs: DataFrame, path: str = RANKS_PATH, block_ids: int = BLOCK_I
         if n:
             yield row(block, np.concatenate(held).tobytes(), None, None)
 
-    both = cut(docs.select("doc_id", "text").mapInArrow(run, f"file int, block long, data binary, first long, ids array<{kind.simpleString()}>"), "token-files")
+    both = cut(map_batches(docs.select("doc_id", "text"), run, f"file int, block long, data binary, first long, ids array<{kind.simpleString()}>"), "token-files")
     order = both.where("block IS NULL").select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
     return both.where("block IS NOT NULL").select("file", "block", "data"), order
 
@@ -91,7 +91,7 @@ def read_flat(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> Dat
                     part = data.slice(k * 2 * block_ids, min(2 * block_ids, data.size - k * 2 * block_ids)).to_pybytes()
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], names=["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    return map_batches(spark.read.format("binaryFile").load(path).select("path", "content"), run, "file string, block long, data binary")
 
 
 def separator_scan(blocks: DataFrame, end: int = END, level: int = LEVEL) -> DataFrame:
