@@ -81,18 +81,23 @@ class Finder:
             self.automaton.add_word(piece, where)
         self.automaton.make_automaton()
 
-    def spans(self, text: str) -> dict[int, list[list[int]]]:
+    def spans(self, text: str) -> dict[int, list[tuple[int, int]]]:
         """For each item hit, the stretches of text in which it can stand, merged where they overlap."""
-        out: dict[int, list[list[int]]] = {}
+        found: dict[int, set[int]] = {}
         for end, where in self.automaton.iter(text):
             for i, offset in where:
-                start = end + 1 - offset
-                lo, hi = max(0, start - self.items[i].k), start + self.items[i].m + self.items[i].k
-                own = out.setdefault(i, [])
-                if own and own[-1][0] <= lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
+                found.setdefault(i, set()).add(end + 1 - offset)
+        return {i: self._merged(self.items[i], sorted(starts)) for i, starts in found.items()}
+
+    @staticmethod
+    def _merged(item: Item, starts: list[int]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for start in starts:
+            lo, hi = max(0, start - item.k), max(0, start + item.m + item.k)
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
         return out
 
     def matches(self, text: str | None) -> list[tuple[int, int, int]]:
