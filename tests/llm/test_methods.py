@@ -71,6 +71,17 @@ def test_every_passage_within_budget_is_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 50
 
 
+def test_degenerate_items_and_texts_stay_linear():
+    import time
+
+    finder = decontaminate.Finder([(1, "a" * 300), (2, "ab" * 100)], decontaminate.ERROR_RATE)
+    began = time.process_time()
+    assert finder.matches("a" * 100_000) == [(1, 0, 24)]
+    assert finder.matches("b" + "a" * 285 + "b") == [(1, 15, 24)]
+    assert finder.matches("ab" * 5000)[0] == (2, 0, 16)
+    assert time.process_time() - began < 20
+
+
 def test_blocks_of_items_give_the_same(spark, docs, monkeypatch):
     bench = table(spark, SF, "benchmark")
     whole = sorted(map(tuple, decontaminate.hits(docs, bench).collect()))
