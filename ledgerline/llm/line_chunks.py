@@ -12,6 +12,8 @@ map side, so a chunk that a third of the documents carry is a few rows when it i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +26,32 @@ MIN_LINES = 2
 FACTOR = 31
 
 
-def chunks_of(text: Column) -> Column:
-    """The chunks of a text as an array; in a chunk, each line starts with an 'x', so that no line is empty and a blank line can part chunks."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where use refers to it for every element of an array."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def _hashes(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+
 
-    def marked(lines: Column, hashes: Column) -> Column:
-        flags = F.array_join(F.transform(hashes, lambda h, i: F.when(F.pmod(h * FACTOR + F.coalesce(F.get(hashes, i - 1), F.lit(0)), F.lit(DIVISOR)) == 0, "1").otherwise("0")), "")
-        ends = F.split(F.regexp_replace(flags, "[01](0*)(1|$)", "0$1$2"), "")
-        last = F.size(lines) - 1
-        return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("x"), x, F.when((F.get(ends, i) == "1") & (i < last), "\n").otherwise(""))), "\n")
+def _ends(hashes: Column) -> Column:
+    """For each line '1' if a chunk ends with it, else '0'."""
+    rolling = lambda h, i: h * FACTOR + F.coalesce(F.get(hashes, i - 1), F.lit(0))
+    flags = F.array_join(F.transform(hashes, lambda h, i: F.when(F.pmod(rolling(h, i), F.lit(DIVISOR)) == 0, "1").otherwise("0")), "")
+    return F.split(F.regexp_replace(flags, "[01](0*)(1|$)", "0$1$2"), "")
 
-    bound = F.transform(F.array(F.struct(lines.alias("l"), hashes.alias("h"))), lambda s: marked(s["l"], s["h"]))
-    return F.split(F.get(bound, F.lit(0)), "\n\n", -1)
+
+def _marked(lines: Column, ends: Column) -> Column:
+    """The lines as one text, an 'x' before each and a blank line after each chunk but the last."""
+    last = F.size(lines) - 1
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("x"), x, F.when((F.get(ends, i) == "1") & (i < last), "\n").otherwise(""))), "\n")
+
+
+def chunks_of(text: Column) -> Column:
+    """The chunks of a text as an array; in a chunk, each line starts with an 'x', so that no line is empty and a blank line can part chunks."""
+    marked = _bind(F.split(text, "\n", -1), lambda lines: _bind(_hashes(lines), lambda hashes: _bind(_ends(hashes), lambda ends: _marked(lines, ends))))
+    return F.split(marked, "\n\n", -1)
 
 
 def text_of(chunks: Column) -> Column:
