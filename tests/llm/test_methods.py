@@ -304,6 +304,16 @@ def test_boundaries_resist_shifts():
     assert sum(map(tuple(map(tuple, b)).__contains__, map(tuple, a))) > 0.95 * len(a)
 
 
+def test_texts_of_very_many_lines_stay_linear(spark):
+    import time
+
+    n = 100_000
+    rows = [(1, "\n".join(f"line {i}" for i in range(n))), (2, "\n".join(f"line {i}" for i in range(5, n)))]
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_chunks.query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["n_removed_lines"] == 0 and got[2]["n_removed_lines"] > n - 20 and time.time() - began < 90
+
+
 def test_clashing_hashes_are_decided_on_bytes(spark, monkeypatch):
     from pyspark.sql import functions as F
 
