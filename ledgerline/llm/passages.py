@@ -1,0 +1,74 @@
+"""Passage dedup by runs of lines of over fifty words, in DataFrame functions only.
+
+From each line with words on, and back from it, the shortest run of such lines with more than
+PASSAGE_WORDS words is one key (SHA-256 over the lines' digests). These runs cover every repeated
+stretch of whole lines of over PASSAGE_WORDS words, whatever stands before and after it: each line of
+the stretch lies in a run that begins or ends with it. A run goes where it occurs again, but for the
+first occurrence by (doc_id, line) and what overlaps that; each line that goes has an equal one at an
+earlier place, and the earliest stays. Lines without words take no part, but go when inside a run.
+
+A run has PASSAGE_WORDS + 1 lines at most, so rows and digests grow with the lines. Grouping combines
+on the map side. Passages that begin or end within a line are found only by the whole lines in them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerline.llm.common import cut
+from ledgerline.llm.line_chunks import _bind
+
+#: A passage has more words than this.
+PASSAGE_WORDS = 50
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, i, h, n): place, digest and words of each line with words; repeated rows count once."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    rows = rows.select("doc_id", "version", "i", F.sha2(F.col("line").cast("binary"), 256).alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("n")).where("n > 0")
+    return rows.repartition("doc_id", "version").dropDuplicates(["doc_id", "version", "i"])
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, lo, hi, lines, run, key): the lines lo to hi hold the run; key orders (doc_id, line)."""
+    of = Window.partitionBy("doc_id", "version")
+    ordered = of.orderBy("i")
+    rows = _lines(docs).withColumn("end", F.sum("n").over(ordered)).withColumn("rank", F.row_number().over(ordered)).withColumn("start", F.col("end") - F.col("n"))
+    on, back = of.orderBy("start").rangeBetween(0, PASSAGE_WORDS), of.orderBy("end").rangeBetween(-PASSAGE_WORDS, 0)
+    ahead = rows.select("doc_id", "version", F.col("i").alias("lo"), F.max("i").over(on).alias("hi"), "rank", F.collect_list("h").over(on).alias("hs"), (F.max("end").over(on) - F.col("start")).alias("words"))
+    behind = rows.select("doc_id", "version", F.min("i").over(back).alias("lo"), F.col("i").alias("hi"), F.min("rank").over(back).alias("rank"), F.collect_list("h").over(back).alias("hs"), (F.col("end") - F.min("start").over(back)).alias("words"))
+    both = ahead.unionByName(behind.where("lo < hi")).where(F.col("words") > PASSAGE_WORDS)
+    key = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("rank")
+    return both.select("doc_id", "version", "lo", "hi", F.size("hs").alias("lines"), F.unhex(F.sha2(F.array_join("hs", "").cast("binary"), 256)).alias("run"), key.alias("key"))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, gone): the numbers of the lines that a text loses."""
+    found = cut(runs(docs), "passages")
+    again = found.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("run", "first")
+    lost = found.join(again, "run").where("key - first >= lines")
+    return lost.select("doc_id", "version", F.explode(F.sequence("lo", "hi")).alias("i")).groupBy("doc_id", "version").agg(F.collect_set("i").alias("gone"))
+
+
+def _left(text: Column, gone: Column) -> Column:
+    """The lines of text whose numbers are not in gone."""
+    at = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return _bind(F.split(text, "\n", -1), lambda lines: F.array_join(F.transform(at(lines), lambda i: F.get(lines, i)), "\n"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs with repeated passages removed; n_chars, where present, follows the text.
+
+    Defined results: rows with a null doc_id or text are returned as they are; repeated rows lose the
+    same lines; texts under one doc_id are no repeats of each other at equal places; no row is dropped.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.where("row.doc_id IS NOT NULL").withColumn("v", F.md5(F.col("row.text").cast("binary")))
+    named = named.join(repeats(docs), (F.col("row.doc_id") == F.col("doc_id")) & (F.col("v") == F.col("version")), "left")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_left(F.col("row.text"), F.col("gone")))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    edited = named.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return edited.unionByName(docs.where("doc_id IS NULL"))

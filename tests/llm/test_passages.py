@@ -1,0 +1,48 @@
+"""Repeated passages of over 50 words on the pipeline's line-dedup stage."""
+
+import random
+
+import corpus_pipeline
+from ledgerline.llm import passages
+
+STAGE = dict(corpus_pipeline.STAGES)["line_dedup"]
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def windows(text):
+    w = text.split()
+    return {tuple(w[i : i + 51]) for i in range(len(w) - 50)}
+
+
+def left(spark, rows, stage=STAGE):
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    got = stage(spark, df, "").collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and len(got) == len(rows)
+    return {r["doc_id"]: r["text"] for r in got}
+
+
+def test_planted_passages_of_one_to_five_lines_go_but_for_the_first(spark):
+    rng = random.Random(11)
+    shared = [[words(rng, 52 + rng.randint(0, 20)) for _ in range(n)] for n in (1, 2, 3, 4, 5)]
+    shared += [[words(rng, 12) for _ in range(5)], [words(rng, 40), "", words(rng, 11)], [words(rng, 60), words(rng, 3)], [words(rng, 3), words(rng, 60)]]
+    rows, want = [], {}
+    for d in range(60):
+        before, after = [words(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 4))], [words(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 4))]
+        rows.append((d, "\n".join([*before, *shared[d % len(shared)], *after])))
+        want[d] = "\n".join([*before, *(shared[d % len(shared)] if d < len(shared) else []), *after])
+    got = left(spark, rows)
+    assert got == want
+    assert not any(windows(got[a]) & windows(got[b]) for a in got for b in got if a < b)
+
+
+def test_own_overlaps_blank_lines_and_repeated_rows(spark):
+    rng = random.Random(12)
+    a, b = words(rng, 60), words(rng, 4)
+    got = left(spark, [(1, "\n".join([a] * 3)), (2, "\n".join([b] * 40)), (3, "\n" * 5000 + a), (4, ""), (5, " \n\t"), (-6, "x")], lambda s, d, _: passages.dedup(d))
+    assert got[1] == a and got[3] == "\n" * 4999 and got[4] == "" and got[5] == " \n\t" and got[-6] == "x"
+    assert got[2].split("\n") == [b] * 13  # the first run of over 50 words stays whole
+    same = spark.createDataFrame([(1, a), (1, a), (2, a), (None, a), (3, None)], "doc_id bigint, text string")
+    assert sorted(map(str, (tuple(r) for r in passages.dedup(same).collect()))) == sorted(map(str, [(1, a), (1, a), (2, ""), (None, a), (3, None)]))
