@@ -3,7 +3,8 @@
 Words are runs of a-z and 0-9 after lower-casing A-Z. The segments of a text are its lines, its blocks
 of lines between blank lines, and the whole text. A segment with a distinct bigrams can reach
 Dice t against a template with b only if t / (2 - t) * b <= a <= (2 - t) / t * b; templates outside
-these bounds are not compared.
+these bounds are not compared. A licence that no segment reaches is looked for in every run of words
+within the same bounds, so that several paragraphs of a longer text, or part of a line, can match it.
 """
 
 from __future__ import annotations
@@ -71,6 +72,10 @@ class Scanner:
         self.templates = [(name, b) for name, texts in templates.items() for b in map(bigrams, texts) if b]
         low, high = threshold / (2 - threshold), (2 - threshold) / threshold
         self.bounds = [(low * len(b) - 1e-9, high * len(b) + 1e-9) for _, b in self.templates]
+        self.of: dict[bytes, list[int]] = {}
+        for t, (_, b) in enumerate(self.templates):
+            for gram in b:
+                self.of.setdefault(gram, []).append(t)
         self.least = min((lo for lo, _ in self.bounds), default=float("inf"))
         self.most = max((hi for _, hi in self.bounds), default=0.0)
 
@@ -86,6 +91,37 @@ class Scanner:
             for (name, template), (lo, hi) in zip(self.templates, self.bounds, strict=True):
                 if lo <= len(own) <= hi and (dice := 2 * len(own & template) / (len(own) + len(template))) >= self.threshold:
                     best[name] = max(best.get(name, 0.0), dice)
+        return self._runs(text or "", best) | best
+
+    def _runs(self, text: str, found: dict[str, float]) -> dict[str, float]:
+        """Licence -> best Dice over all runs of words, for licences not found yet.
+
+        A best run starts at a bigram of the template that does not come again in it, so each start is
+        followed to its next occurrence at most.
+        """
+        words = WORD.findall(text.encode("utf-8", "surrogatepass").lower())
+        grams = [a + b" " + b for a, b in zip(words, words[1:], strict=False)]
+        starts: dict[int, list[int]] = {}
+        for i, gram in enumerate(grams):
+            for t in self.of.get(gram, ()):
+                starts.setdefault(t, []).append(i)
+        best: dict[str, float] = {}
+        for t, places in starts.items():
+            (name, template), (lo, hi) = self.templates[t], self.bounds[t]
+            if name in found or len(places) < lo or len({grams[i] for i in places}) < lo:
+                continue
+            for i in places:
+                seen, common = {grams[i]}, 1
+                for j in range(i, len(grams)):
+                    if j > i and grams[j] == grams[i]:
+                        break
+                    if grams[j] not in seen:
+                        seen.add(grams[j])
+                        common += grams[j] in template
+                    if len(seen) > hi:
+                        break
+                    if (dice := 2 * common / (len(seen) + len(template))) >= self.threshold:
+                        best[name] = max(best.get(name, 0.0), dice)
         return best
 
 
