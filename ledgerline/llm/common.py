@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -38,9 +39,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that cut wrote inside it; store a result before."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[first:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _written[first:]
+
+
 _shipped: set[str] = set()
 
 
@@ -80,22 +98,35 @@ def remainder(key: Column, k: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % k
 
 
-def sample_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """At most n rows, the same for the same input: those whose hashed key is smallest."""
-    return rows.orderBy(F.xxhash64(key), key).limit(n)
+def _share(n: int, total: Column | int) -> Column:
+    """A bound on xxhash64 under which about n of total distinct keys fall, and a quarter more, since total is an estimate."""
+    return F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(1.25 * n + 64) / F.greatest(F.lit(1), F.lit(total))) * F.lit(2.0**64)
+
+
+def sample_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n distinct non-null keys, the same for the same input: those whose hash is smallest.
+
+    The number of keys is estimated first, so that only about n of them pass a bound on the hash and
+    meet in one task, however many partitions or repeated keys there are.
+    """
+    keys = rows.select(key).where(F.col(key).isNotNull())
+    total = keys.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    return keys.where(F.xxhash64(key) <= _share(n, total)).distinct().orderBy(F.xxhash64(key), key).limit(n)
+
+
+def sample_texts(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text) of at most n documents: keys are chosen before texts move; of several texts under one id, the smallest."""
+    return docs.select("doc_id", "text").join(F.broadcast(sample_keys(docs, "doc_id", n)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, k: int, r: int, n: int) -> DataFrame:
-    """(doc_id, text, y) of at most n labelled documents whose remainder mod k is not r.
+    """(doc_id, text, y), at most n rows: labelled documents whose remainder mod k is not r.
 
-    Labels that are null, or that contradict each other for one doc_id, are left out. At most n ids
-    are broadcast; the documents are not shuffled.
+    Labels that are null, or that contradict each other for one doc_id, are left out; of several texts
+    under one doc_id the smallest counts, so n bounds rows as well as ids. At most n ids are broadcast;
+    what moves is combined on the map side.
     """
-    ids = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), k) != r))
-        .groupBy("doc_id")
-        .agg(F.min(label).alias("y"), F.max(label).alias("__top"))
-        .where("y = __top")
-        .select("doc_id", F.col("y").cast("int").alias("y"))
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(sample_rows(ids, "doc_id", n)), "doc_id")
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), k) != r)).select("doc_id", F.col(label).alias("y"))
+    ids = usable.join(F.broadcast(sample_keys(usable, "doc_id", n)), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("__top"))
+    chosen = F.broadcast(ids.where("y = __top").select("doc_id", F.col("y").cast("int").alias("y")))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

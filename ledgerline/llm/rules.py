@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import map_slices, sample_rows
+from ledgerline.llm.common import map_slices, sample_texts
 
 #: Rows of the sample that orders the rules.
 SAMPLE_ROWS = 512
@@ -135,7 +135,7 @@ def cascade(docs: DataFrame, sample_n: int = SAMPLE_ROWS) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = tuple(r for r in RULES if r.name in BASE)
-    order = ordered(measure(sample_rows(docs.select("doc_id", "text"), "doc_id", sample_n)))
+    order = ordered(measure(sample_texts(docs, sample_n)))
     rest = tuple(r.name for r in order if r.name not in BASE)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,8 +155,12 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def keep(docs: DataFrame, sample_n: int = SAMPLE_ROWS) -> DataFrame:
-    """Rows of docs that no rule rejects, in full short circuit: nothing is computed past the first rejection."""
-    order = tuple(r.name for r in ordered(measure(sample_rows(docs.select("doc_id", "text"), "doc_id", sample_n))))
+    """Rows of docs that no rule rejects, in full short circuit: nothing is computed past the first rejection.
+
+    Defined results: all columns stay, whatever their names; null and empty texts have too few words and
+    go; repeated rows stay or go together; an empty table gives no rows.
+    """
+    order = tuple(r.name for r in ordered(measure(sample_texts(docs, sample_n))))
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
