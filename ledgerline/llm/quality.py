@@ -23,6 +23,7 @@ from ledgerline.llm.common import cut, labelled, map_batches, map_slices, remain
 #: Labelled rows that the model is trained on, at most.
 TRAIN_ROWS = 6000
 BITS = 18
+BIAS = 1 << BITS
 PASSES = 8
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.01
@@ -41,7 +42,7 @@ class Columns(dict):
 
 
 def vector(known: Columns, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Column numbers, ascending, and values with unit length; column 0 is left to the bias."""
+    """Column numbers, ascending, and values with unit length; column 2^BITS is the bias's own."""
     tokens = TOKEN.findall(text.lower()) if text else []
     if not tokens:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -50,13 +51,13 @@ def vector(known: Columns, text: str | None) -> tuple[np.ndarray, np.ndarray]:
     grams = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] * np.uint64(0x165667B19E3779F9))])
     at, n = np.unique((grams >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
     x = np.log1p(n)
-    return at[at > 0], (x / np.sqrt((x * x).sum()))[at > 0].astype(np.float32)
+    return at, (x / np.sqrt((x * x).sum())).astype(np.float32)
 
 
 def train(rows: Iterator[tuple[np.ndarray, np.ndarray, int]], passes: int = PASSES) -> np.ndarray:
     """FTRL-proximal, one update a document and pass; per-column rates; weights by the closed form. Both labels weigh alike in sum."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    rows = [(np.append(0, at).astype(np.int64), np.append(1.0, x), y) for at, x, y in rows]
+    z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+    rows = [(np.append(at, BIAS).astype(np.int64), np.append(x, 1.0), y) for at, x, y in rows]
     share = [len(rows) / (2 * max(1, sum(y == label for _, _, y in rows))) for label in (0, 1)]
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -68,11 +69,11 @@ def train(rows: Iterator[tuple[np.ndarray, np.ndarray, int]], passes: int = PASS
             g = share[y] * (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
-    return weights(np.arange(1 << BITS)).astype(np.float32)
+    return weights(np.arange(BIAS + 1)).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Train in one task on at most `rows` labelled documents outside the held-out remainder; 2^18 weights reach the driver."""
+    """Train in one task on at most `rows` labelled documents outside the held-out remainder; 2^18 + 1 weights reach the driver."""
     sample = cut(labelled(docs, labels, "quality", FOLDS, HELD_OUT, rows), "quality-sample")
 
     def sparse(known: Columns, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -86,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     kind = sample.schema["doc_id"].dataType.simpleString()
     vectors = map_slices(sample, sparse, f"doc_id {kind}, at array<int>, x array<float>, y int", Columns)
     got = map_batches(vectors.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id"), learn, "w binary").collect()
-    return np.frombuffer(bytes(got[0]["w"]), dtype=np.float32) if got else np.zeros(1 << BITS, np.float32)
+    return np.frombuffer(bytes(got[0]["w"]), dtype=np.float32) if got else np.zeros(BIAS + 1, np.float32)
 
 
 def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -98,7 +99,7 @@ def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         w, dots = shared.value, []
         for text in batch.column(1).to_pylist():
             at, x = vector(known, text)
-            dots.append(float(w[0]) + float(w[at] @ x))
+            dots.append(float(w[BIAS]) + float(w[at] @ x))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(dots, -30, 30))))], names=["doc_id", "score"])
 
     return map_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double", Columns)
