@@ -24,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, map_slices
@@ -49,6 +49,8 @@ HAMMING = Field(46, 15, 0b10011, 1)
 TWO, THREE = (GOLAY_LOW, GOLAY_HIGH), (GOLAY_LOW, GOLAY_HIGH, HAMMING)
 #: Distinct fingerprints from which the third field pays: 61 n (1 + n / 2^24) rows against 153 n (1 + n / 2^35).
 MANY = 25_000_000
+#: Tasks that share the links of one node in a star round.
+SALTS = 64
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -70,15 +72,15 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
-def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row of docs; null text has fingerprint zero."""
+def with_fingerprints(docs: DataFrame, k: int = SHINGLE, *carried: str) -> DataFrame:
+    """(doc_id, fp long) and the string columns carried along of every row of docs; null text has fingerprint zero."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, k) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return map_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
+    return map_slices(docs.select("doc_id", "text", *carried), run, ", ".join([f"doc_id {kind}, fp long", *(f"{c} string" for c in carried)]))
 
 
 def _syndrome(words: np.ndarray, field: Field) -> np.ndarray:
@@ -144,11 +146,15 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, fields: tuple[Field, ...]
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round. Minima are aggregated first and joined back, so a hub is no group in one task."""
+    """One star round. A node's links are dealt over SALTS tasks, so a hub, which a root becomes, is no group in one task.
+
+    Minima are taken by node and salt, then by node, and go back the same way to the links.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
-    near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = near.join(least, "u")
+    near = (both if large else both.where("v < u")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = near.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    met = near.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"])
     moved = met.where("v > u").select("m", "v") if large else met.select("m", "v").union(least.select("m", F.col("u").alias("v")))
     return moved.where("m <> v").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
@@ -165,6 +171,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a"), F.col("a")).distinct())
 
 
+def _grouped(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint in prints."""
+    nodes = cut(prints.select("fp").distinct(), "simhash-nodes")
+    fields = THREE if nodes.count() > MANY else TWO
+    roots = cut(components(links(nodes, max_bits, fields)), "simhash-roots")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs.
 
@@ -175,22 +189,38 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE)
     (null if there is none); an empty table gives no rows.
     """
     prints = cut(with_fingerprints(docs, k), "simhash-prints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    fields = THREE if nodes.count() > MANY else TWO
-    roots = cut(components(links(nodes, max_bits, fields)), "simhash-roots")
-    member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = member.join(of_root, "root").select("fp", "component_id")
+    of = _grouped(prints, max_bits)
+    member = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp")
+    ids = of.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def version(text: Column) -> Column:
+    """Tells the texts under one doc_id apart."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose (doc_id, version of the text) are not in gone, which is written first, so that its size decides the join."""
+    gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("v").alias("__v")).distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(gone, (F.col("row.doc_id") == F.col("__id")) & (version(F.col("row.text")) == F.col("__v")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE) -> DataFrame:
-    """Rows of docs without the later members of each group: the smallest doc_id of a group stays.
+    """Rows of docs without the later texts of each group: the smallest by (doc_id, md5 of the text) stays.
 
-    Rows with a null doc_id can't be told apart and stay, repeated rows with the id that stays too.
+    Defined results: a text goes only with its own group, so others under the same doc_id stay; rows that
+    repeat a doc_id and its text are one document and stay or go together; rows with a null doc_id can't
+    be told apart and stay; null and empty texts form one group; an empty table gives no rows.
     """
-    gone = near_duplicates(docs, max_bits, k).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", version(F.col("text")).alias("v"))
+    prints = cut(with_fingerprints(rows, k, "v"), "simhash-prints")
+    of = _grouped(prints, max_bits)
+    best = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "v")).alias("best")).join(of, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = of.join(best, "root").select("fp", "best")
+    return without(docs, prints.join(kept, "fp").where("doc_id <> best.doc_id OR v <> best.v"))
 
 
 def query(docs: DataFrame) -> DataFrame:
