@@ -1,13 +1,19 @@
 """Line dedup by content-defined line chunks, in DataFrame functions only.
 
-The lines of a text are hashed; a rolling hash over each line and the one before it marks candidate
-boundaries, and a chunk ends at the first candidate from its second line on. Boundaries depend on
-nearby lines alone, so an insertion shifts no later chunk. Chunks of two lines or more that occur more
-than once in the table are removed, but for the first occurrence by (doc_id, position).
-
-Whole chunk texts are the grouping key beside their hash, so equality is decided on bytes. Where one
-hash stands for several texts, the occurrences are joined on the text itself. Grouping combines on the
-map side, so a chunk that a third of the documents carry is a few rows when it is shuffled.
+Lines with words are hashed; a rolling hash over each line and the one before it chooses boundaries: a
+chunk begins where the rolling hash falls, and between two lines of over LONG_WORDS words in sum. Whether
+a place is a boundary depends on three lines and not on where a chunk began, so an insertion moves no
+boundary beyond its own neighbours.
+
+Copies of a passage meet at the boundaries they share: the two lines around a boundary, or a line of
+over LONG_WORDS words, are its key. From a key that occurs again, the chunks at its first occurrence and here are compared line
+by line, backwards over two chunks and forwards over one, and the run of equal lines goes, unless it has
+fewer than two lines and no long one. Each line that goes has an equal one at an earlier place by
+(doc_id, text version, line), and the earliest stays.
+
+Keys are grouped as 64-bit hashes first, which combines on the map side, and only repeated ones go on.
+Runs are compared as hashes of lines; then the bytes of all lines that go, and of those that they repeat,
+are compared, grouped by hash. If two texts share a hash, all is done again with another seed.
 """
 
 from __future__ import annotations
@@ -19,11 +25,13 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut
 
-#: A line closes a chunk with probability one in so many.
-DIVISOR = 2
-MIN_LINES = 2
+#: A line of more words is a key by itself, and a chunk begins between two lines of more words in sum.
+LONG_WORDS = 50
 #: Weight of a line against the one before it in the rolling hash.
 FACTOR = 31
+#: Seeds that are tried; a second is needed only if two lines of the table share a 64-bit hash.
+SEEDS = 8
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -31,106 +39,170 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
-def _hashes(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+def _identity(line: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), line)
 
 
-def _ends(hashes: Column) -> Column:
-    """For each line '1' if a chunk ends with it, else '0'."""
-    rolling = lambda h, i: h * FACTOR + F.coalesce(F.get(hashes, i - 1), F.lit(0))
-    flags = F.array_join(F.transform(hashes, lambda h, i: F.when(F.pmod(rolling(h, i), F.lit(DIVISOR)) == 0, "1").otherwise("0")), "")
-    return F.split(F.regexp_replace(flags, "[01](0*)(1|$)", "0$1$2"), "")
+def _lines(text: Column, seed: int) -> Column:
+    """The lines with words: at (number of the line), h (identity), r (rolling hash), n (words)."""
+    each = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("x")))
+    worded = F.filter(each, lambda x: x["x"].rlike(WORD))
+    hashed = F.transform(worded, lambda x: F.struct(
+        x["at"].alias("at"), _identity(x["x"], seed).alias("h"), F.conv(F.substring(F.md5(x["x"].cast("binary")), 1, 8), 16, 10).cast("long").alias("m"),
+        F.regexp_count(x["x"], F.lit(WORD)).alias("n")))
+    rolling = lambda all_, x, i: x["m"] * FACTOR + F.coalesce(F.get(all_, i - 1)["m"], F.lit(0))
+    return _bind(hashed, lambda all_: F.transform(all_, lambda x, i: F.struct(x["at"].alias("at"), x["h"].alias("h"), rolling(all_, x, i).alias("r"), x["n"].alias("n"))))
 
 
-def _marked(lines: Column, ends: Column) -> Column:
-    """The lines as one text, an 'x' before each and a blank line after each chunk but the last."""
-    last = F.size(lines) - 1
-    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("x"), x, F.when((F.get(ends, i) == "1") & (i < last), "\n").otherwise(""))), "\n")
+def _starts(lines: Column) -> Column:
+    """Numbers, among the lines with words, at which a chunk begins, but for the first chunk."""
+    begins = lambda i: (F.get(lines, i)["r"] < F.get(lines, i - 1)["r"]) | (F.get(lines, i)["n"] + F.get(lines, i - 1)["n"] > LONG_WORDS)
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))), lambda i: (i < F.size(lines)) & F.coalesce(begins(i), F.lit(False)))
 
 
-def chunks_of(text: Column) -> Column:
-    """The chunks of a text as an array; in a chunk, each line starts with an 'x', so that no line is empty and a blank line can part chunks."""
-    marked = _bind(F.split(text, "\n", -1), lambda lines: _bind(_hashes(lines), lambda hashes: _bind(_ends(hashes), lambda ends: _marked(lines, ends))))
-    return F.split(marked, "\n\n", -1)
+def _keys(lines: Column, starts: Column) -> Column:
+    """(i, key, before, after, at, last): a key at line i, hashes of up to two chunks before it and of the chunk from it on, and the first and last line that these cover.
 
-
-def text_of(chunks: Column) -> Column:
-    joined = F.array_join(F.transform(chunks, lambda c: F.concat(F.lit("\n"), c)), "")
-    return F.substring(F.replace(joined, F.lit("\nx"), F.lit("\n")), 2, 2**31 - 1)
-
-
-def line_count(chunk: Column) -> Column:
-    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, chunk, h, key) of the chunks of MIN_LINES lines or more; key orders (doc_id, pos)."""
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(chunks_of(F.col("text"))).alias("pos", "chunk"))
-    key = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("pos")
-    return rows.where(F.contains("chunk", F.lit("\n"))).select("doc_id", "pos", "chunk", F.xxhash64("chunk").alias("h"), key.alias("key"))
+    A boundary's key is of the two lines around it; a long line has a key of itself too, from which it is compared alone.
+    """
+    slice_ = lambda a, b: F.transform(F.slice(lines, a + 1, F.greatest(b - a, F.lit(0))), lambda x: x["h"])
+    begin = lambda k: F.coalesce(F.get(starts, k), F.lit(0))
+    pairs = F.transform(starts, lambda i, k: F.struct(
+        i.alias("i"), F.xxhash64(F.get(lines, i - 1)["h"], F.get(lines, i)["h"]).alias("key"), slice_(begin(k - 2), i).alias("before"),
+        slice_(i, F.coalesce(F.get(starts, k + 1), F.size(lines))).alias("after")))
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["h"].alias("h"), (x["n"] > LONG_WORDS).alias("long")))
+    alone = F.transform(F.filter(numbered, lambda x: x["long"]), lambda x: F.struct(
+        x["i"].alias("i"), x["h"].alias("key"), F.array().cast("array<bigint>").alias("before"), F.array(x["h"]).alias("after")))
+    return F.concat(pairs, alone)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, v, text): rows that can take part; v tells texts under one doc_id apart."""
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("v"), "text")
+
+
+def _boundaries(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, v, i, key, before, after) of every key in docs."""
+    found = _bind(_lines(F.col("text"), seed), lambda lines: _bind(_starts(lines), lambda starts: _keys(lines, starts)))
+    return _texts(docs).select("doc_id", "v", F.inline(found))
+
+
+def _agreeing(a: Column, b: Column) -> Column:
+    """How many elements a and b share from the start."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.when(F.array_contains(same, False), F.array_position(same, False).cast("int") - 1).otherwise(F.size(same))
+
+
+def repeats(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, v, gone, needed): the numbers, among lines with words, of those that a text loses and of those that others lose for it."""
+    place = F.struct("doc_id", "v", "i")
+    again = _boundaries(docs, seed).select("key", place.alias("place")).groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    again = cut(again.where("first < last").select("key", "first"), "line-keys")
+    marked = cut(_boundaries(docs, seed).join(again, "key").select("key", place.alias("place"), "before", "after", "first"), "line-marks")
+    first = marked.where("place = first").dropDuplicates(["key"]).select("key", F.col("before").alias("before0"), F.col("after").alias("after0"))
+    met = marked.where("place <> first").dropDuplicates(["key", "place"]).join(first, "key")
+    met = met.select("place", "first", "before", "after", _agreeing(F.reverse("before"), F.reverse("before0")).alias("back"), _agreeing(F.col("after"), F.col("after0")).alias("on"))
+    ahead = lambda at: F.when(F.col("on") > 0, F.sequence(at - F.col("back"), at + F.col("on") - 1))
+    both = met.where("back + on >= 2 OR size(before) = 0").select(
+        F.explode(F.array(F.struct("place.doc_id", "place.v", ahead(F.col("place.i")).alias("gone"), F.lit(None).cast("array<int>").alias("needed")),
+                          F.struct("first.doc_id", "first.v", F.lit(None).cast("array<int>").alias("gone"), ahead(F.col("first.i")).alias("needed")))).alias("x")).select("x.*")
+    lines = both.select("doc_id", "v", F.explode(F.coalesce("gone", "needed")).alias("line"), F.col("gone").isNotNull().alias("goes")).distinct()
+    return lines.groupBy("doc_id", "v").agg(F.collect_list(F.when(F.col("goes"), F.col("line"))).alias("gone"), F.collect_list(F.when(~F.col("goes"), F.col("line"))).alias("needed"))
+
+
+def _in_lines(text: Column, worded: Column) -> Column:
+    """Numbers of lines, in the text, of stretches of lines with words, the wordless ones between two of them included."""
+    at = F.transform(_numbers(text), lambda x: x)
+    return _bind(at, lambda at: _bind(F.array_sort(worded), lambda w: F.flatten(F.transform(w, lambda k, n: F.when(
+        F.get(w, n + 1) == k + 1, F.sequence(F.get(at, k), F.get(at, k + 1) - 1)).otherwise(F.array(F.get(at, k)))))))
+
+
+def _numbers(text: Column) -> Column:
+    """Line numbers of the lines with words."""
+    each = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), x.rlike(WORD).alias("own")))
+    return F.transform(F.filter(each, lambda x: x["own"]), lambda x: x["at"])
+
+
+def _clash(held: DataFrame, seed: int) -> bool:
+    """Do two different lines, among those that go and those that they repeat, share a hash?"""
+    own = F.split(F.col("row.text"), "\n", -1)
+    lines = held.where("gone IS NOT NULL").select(F.explode(_bind(own, lambda own: _bind(_numbers(F.col("row.text")), lambda at: F.transform(
+        F.array_union("gone", "needed"), lambda k: F.get(own, F.get(at, k)))))).alias("line"))
+    bytes_ = lines.groupBy(_identity(F.col("line"), seed).alias("h")).agg(F.min("line").alias("a"), F.max("line").alias("b"))
+    return bool(bytes_.where("a <> b").limit(1).count())
+
+
+def held(docs: DataFrame) -> DataFrame:
+    """(row, gone) of every row of docs, written: the row as a struct, so that no column can clash, and the lines that it loses, null where none."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    for seed in range(SEEDS):
+        gone = cut(repeats(docs, seed), "line-repeats")
+        known = (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64(F.col("row.text")) == F.col("v"))
+        found = cut(rows.join(gone, known, "left").select("row", "gone", "needed"), "line-chunks")
+        if not _clash(found, seed):
+            return found
+    raise ValueError(f"two lines share their hash under each of {SEEDS} seeds")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): for documents that lose chunks, the marks 'position:hash' of these."""
-    groups = _rows(docs).groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min("key").alias("first"))
-    by_hash = cut(groups.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")).where("n > texts"), "line-chunks")
-    found = _rows(docs).select("doc_id", "pos", "h", "key").join(by_hash.where("texts = 1").select("h", "first"), "h").where("key <> first")
-    if by_hash.where("texts > 1").limit(1).count():  # several texts under one hash: join on the bytes
-        own = _rows(docs).join(by_hash.where("texts > 1").select("h"), "h", "left_semi")
-        firsts = own.groupBy("h", "chunk").agg(F.min("key").alias("first"))
-        found = found.unionByName(own.join(firsts, ["h", "chunk"]).where("key <> first").select("h", "doc_id", "pos", "key", "first"))
-    return found.groupBy("doc_id").agg(F.collect_set(F.concat_ws(":", "pos", "h")).alias("gone"))
+def _left(row_text: Column, gone: Column) -> Column:
+    """The lines of the text that stay."""
+    return F.when(F.coalesce(F.size(gone), F.lit(0)) <= 0, F.split(row_text, "\n", -1)).otherwise(
+        _bind(F.split(row_text, "\n", -1), lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), _in_lines(row_text, gone)), lambda i: F.get(own, i))))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """(row, chunks, kept) of every row of docs: the row as a struct, so that no column can clash, all its chunks and those that stay.
+def dedup(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs with repeated chunks removed; n_chars, where present, follows the text.
 
-    Defined results: null texts stay null and take no part; an empty text is one empty line; rows with a
-    null doc_id are returned as they are; rows that repeat a doc_id and text share their chunks' places,
-    so neither loses what the other keeps; a document may end up with an empty text but no row is dropped.
+    Defined results: rows with a null doc_id or text are returned as they are and take no part; an empty
+    text is one empty line; rows that repeat a doc_id and text lose the same lines, so neither loses what
+    the other keeps; a document may end up with an empty text but no row is dropped; doc_id may be of any
+    type that has an order; an empty table gives no rows.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    named = rows.where("row.doc_id IS NOT NULL").join(repeats(docs), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "gone", chunks_of(F.col("row.text")).alias("chunks"))
-    marks = F.transform("chunks", lambda c, i: F.concat_ws(":", i, F.xxhash64(c)))
-    left = F.transform(F.array_except(marks, F.col("gone")), lambda m: F.get(F.col("chunks"), F.split_part(m, F.lit(":"), F.lit(1)).cast("int")))
-    named = named.select("row", "chunks", F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(left).alias("kept"))
-    others = rows.where("row.doc_id IS NULL").select("row", chunks_of(F.col("row.text")).alias("chunks"))
-    return named.unionByName(others.withColumn("kept", F.col("chunks")))
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs with repeated chunks removed; n_chars, where present, follows the text."""
-    text = F.when(F.col("row.text").isNotNull(), text_of(F.col("kept")))
+    found = held(docs)
+    text = F.when(F.size("gone") > 0, F.array_join(_left(F.col("row.text"), F.col("gone")), "\n")).otherwise(F.col("row.text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return without_repeats(docs).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """op8: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_md5 (of the text that is left) of every document."""
-    both = without_repeats(docs.select("doc_id", "text"))
-    lines = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + line_count(x))
-    out = both.select("row.doc_id", lines("chunks").alias("a"), lines("kept").alias("b"), F.size("chunks").alias("c"), F.size("kept").alias("d"), F.when(F.col("row.text").isNotNull(), F.md5(text_of(F.col("kept")).cast("binary"))).alias("kept_md5"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select("doc_id", zero(F.col("a")).alias("n_lines"), zero(F.greatest("c", F.lit(0))).alias("n_chunks"), zero(F.col("c") - F.col("d")).alias("n_removed_chunks"), zero(F.col("a") - F.col("b")).alias("n_removed_lines"), "kept_md5")
-
-
-ORACLE = """
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
-f AS (
-  SELECT doc_id, ls, regexp_replace(array_to_string(list_transform(generate_series(1, len(hs)),
-    lambda i: CASE WHEN (hs[i] * 31 + CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) % 2 = 0 THEN '1' ELSE '0' END), ''), '[01](0*)(1|$)', '0\\1\\2', 'g') AS ends
-  FROM h),
-p AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line, ends FROM f),
-c AS (
-  SELECT doc_id, i, line, coalesce(sum((substr(ends, i, 1) = '1')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM p),
-k AS (SELECT doc_id, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, pos),
-r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, n, chunk ORDER BY doc_id, pos) > 1 AS gone FROM k)
-SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks, (count(*) FILTER (WHERE gone))::BIGINT AS n_removed_chunks,
-  coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines,
-  md5(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_md5
-FROM r GROUP BY doc_id
+    """op8: doc_id, n_lines, n_chunks, n_removed_lines, kept_md5 (of the text that is left) of every document."""
+    text, size = F.col("row.text"), lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    chunks = _bind(_lines(text, 0), lambda lines: F.when(F.size(lines) > 0, F.size(_starts(lines)) + 1).otherwise(0))
+    rows = held(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), text.alias("text"), _left(text, F.col("gone")).alias("left"), chunks.alias("n"))
+    return rows.select(
+        "doc_id", size(F.split("text", "\n", -1)).alias("n_lines"), F.coalesce(F.greatest("n", F.lit(0)), F.lit(0)).cast("long").alias("n_chunks"),
+        (size(F.split("text", "\n", -1)) - size(F.col("left"))).alias("n_removed_lines"),
+        F.when(F.col("text").isNotNull(), F.md5(F.array_join("left", "\n").cast("binary"))).alias("kept_md5"))
+
+
+ORACLE = r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+u AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS ln, unnest(ls) AS line FROM a),
+w AS (
+  SELECT doc_id, ln, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS m, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS i
+  FROM u WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+r AS (SELECT *, m * 31 + lag(m, 1, 0) OVER o AS r, lag(line) OVER o AS prior, lag(n) OVER o AS prior_n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, i > 0 AND (r < lag(r) OVER (PARTITION BY doc_id ORDER BY i) OR n + prior_n > 50) AS begins FROM r),
+s AS (SELECT doc_id, i, prior, line, lag(i, 2, 0) OVER o AS lo, lead(i) OVER o AS hi FROM b WHERE begins WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+d AS (SELECT doc_id, list(line ORDER BY i) AS ws, list(ln ORDER BY i) AS ats FROM w GROUP BY doc_id),
+k AS (
+  SELECT s.doc_id, i, {'p': prior, 'l': line} AS key, false AS alone, ws[lo + 1:i] AS before, ws[i + 1:coalesce(hi, len(ws))] AS after FROM s JOIN d ON s.doc_id = d.doc_id
+  UNION ALL SELECT doc_id, i, {'p': NULL, 'l': line}, true, []::VARCHAR[], [line] FROM w WHERE n > 50),
+f AS (SELECT *, first_value(doc_id) OVER o AS doc0, first_value(i) OVER o AS i0, first_value(before) OVER o AS before0, first_value(after) OVER o AS after0
+  FROM k WINDOW o AS (PARTITION BY key ORDER BY doc_id, i)),
+e AS (SELECT doc_id, i, alone,
+    coalesce(list_position(list_transform(generate_series(1, greatest(len(before), len(before0))), lambda j: coalesce(before[len(before) + 1 - j] = before0[len(before0) + 1 - j], false)), false) - 1, len(before))::BIGINT AS back,
+    coalesce(list_position(list_transform(generate_series(1, greatest(len(after), len(after0))), lambda j: coalesce(after[j] = after0[j], false)), false) - 1, len(after))::BIGINT AS ahead
+  FROM f WHERE (doc_id, i) <> (doc0, i0)),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i - back, i + ahead - 1)) AS i FROM e WHERE alone OR back + ahead >= 2),
+x AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM g),
+y AS (SELECT x.doc_id, unnest(CASE WHEN nxt = i + 1 THEN generate_series(ats[i + 1], ats[i + 2] - 1) ELSE [ats[i + 1]] END) AS ln FROM x JOIN d ON x.doc_id = d.doc_id),
+c AS (SELECT doc_id, count(*) + 1 AS n FROM s GROUP BY doc_id),
+z AS (SELECT u.doc_id, u.ln, u.line, y.ln IS NOT NULL AS gone FROM u LEFT JOIN y ON u.doc_id = y.doc_id AND u.ln = y.ln)
+SELECT z.doc_id, count(*)::BIGINT AS n_lines, coalesce(any_value(c.n), (any_value(d.doc_id) IS NOT NULL)::INT)::BIGINT AS n_chunks,
+  (count(*) FILTER (WHERE gone))::BIGINT AS n_removed_lines, md5(coalesce(string_agg(line, chr(10) ORDER BY z.ln) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM z LEFT JOIN c ON z.doc_id = c.doc_id LEFT JOIN d ON z.doc_id = d.doc_id GROUP BY z.doc_id
 """
