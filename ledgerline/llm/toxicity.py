@@ -1,13 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer turns words into classes (insult, threat, target, negation, report) with weights.
-Three small transducers read the classes: one tracks a target in reach, one the scope of a negation,
-one reported speech. They are composed into one deterministic machine, which rewrites an insult or
-threat into a marked output with a factor; a clause scores the sum of weight times factor. A logistic
-layer turns a document's clause scores into a probability.
-
-Learned, from a bounded sample of labelled rows: further insult words and stems (a word beginning)
-by log-odds, and the logistic layer.
+A lexical transducer turns the words of a clause into classes (insult, threat, target, negation, report)
+with weights. Three small transducers read the classes: one tracks a target in reach, one the scope of a
+negation, one reported speech. They are composed into one deterministic machine, and a second one, of
+target and report, reads its output from right to left, so that a target or a report may also follow.
+What comes out for an insult or threat is a pattern: addressed, threat, softened (negated or reported),
+or none. Each matched clause adds its patterns' weights to the document.
+
+An insult that no pattern holds counts only as recurring invective, with another one in the document; one
+alone is a feature of its own, whose weight starts at zero and is learned. A logistic layer turns the
+sums into a probability.
+
+Learned, from a bounded sample of labelled rows: further insult words and stems (a word beginning) by
+log-odds, and the logistic layer.
 """
 
 from __future__ import annotations
@@ -24,10 +29,8 @@ from ledgerline.llm.common import cut, labelled, map_slices, remainder
 
 #: Labelled rows that the lexicon and the logistic layer are fitted on, at most.
 TRAIN_ROWS = 6000
-#: Entries of the learned lexicon, at most.
-LEXICON_ROWS = 4096
 STEMS = (4, 5, 6)
-#: Toxic texts that must hold a learned word or stem: LEAST, and one in SHARE.
+#: Toxic texts that must hold a learned word or stem: LEAST, and one in SHARE. So at most SHARE times the mean number of distinct words and stems of a toxic text are learned.
 LEAST, SHARE = 6, 60
 FOLDS, HELD_OUT = 5, 0
 
@@ -38,9 +41,9 @@ TARGETS = "you your yours u ur he she they them him her his their this those the
 NEGATIONS = "not no never isn aren wasn don doesn nicht kein keine nie pas jamais ne nunca ni".split()
 REPORTS = "said says say claimed claims called calls wrote reported quoted quote allegedly sagte sagt disait dit dijo dice".split()
 
-SEED_WEIGHT = 3.0
+SEED_WEIGHT, THREAT_WEIGHT = 3.0, 2.0
 WORD = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
+CLAUSE = re.compile(r"[.!?;:\n]+|\b(?:but|aber|sondern|mais|pero|sino)\b")
 Arc = tuple[str, str, float]  # next state, output class, factor
 
 
@@ -54,16 +57,28 @@ class Machine(NamedTuple):
     def step(self, state: str, symbol: str) -> Arc:
         return self.arcs.get((state, symbol)) or (self.rest[state], symbol, 1.0)
 
+    def run(self, symbols: list[str]) -> tuple[list[str], list[float]]:
+        """Output classes and factors, one a symbol."""
+        state, out, factors = self.start, [], []
+        for symbol in symbols:
+            state, symbol, factor = self.step(state, symbol)
+            out.append(symbol)
+            factors.append(factor)
+        return out, factors
+
+
+SIGNS = ("", "+", "-", "+-")
+
 
 def _countdown(name: str, opener: str, reach: int, factor: float, mark: str) -> Machine:
-    """Opens a scope of `reach` words at `opener`; insults and threats inside get the mark and the factor. A break closes it."""
+    """Opens a scope of `reach` words at `opener`; insults and threats inside get the mark, and the factor if they lack the mark."""
     states = ["0", *(f"{name}{i}" for i in range(reach, 0, -1))]
     after = dict(zip(states[1:], [*states[2:], "0"], strict=True)) | {"0": "0"}
-    arcs: dict[tuple[str, str], Arc] = {(s, opener): (states[1], opener, 1.0) for s in states} | {(s, "break"): ("0", "break", 1.0) for s in states}
+    arcs: dict[tuple[str, str], Arc] = {(s, opener): (states[1], opener, 1.0) for s in states}
     for s in states[1:]:
         for kind in ("insult", "threat"):
-            for old in ("", "+", "-", "+-"):
-                arcs[s, kind + old] = (after[s], kind + (old if mark in old else old + mark), factor)
+            for old in SIGNS:
+                arcs[s, kind + old] = (after[s], kind + "".join(x for x in "+-" if x in old + mark), 1.0 if mark in old else factor)
     return Machine("0", arcs, after)
 
 
@@ -83,16 +98,19 @@ def compose(first: Machine, second: Machine, symbols: list[str]) -> Machine:
     return Machine(start, arcs, {f"{a}/{b}": f"{a}/{b}" for a, b in seen})
 
 
-CLASSES = ["other", "insult", "threat", "target", "negation", "report", "break"]
-OUTPUTS = ("plain", "targeted", "softened", "threat")
+CLASSES = ["other", "insult", "threat", "target", "negation", "report"]
+MARKED = [*CLASSES, *(kind + sign for kind in ("insult", "threat") for sign in SIGNS[1:])]
+#: The pattern of an output; a threat without a target is none, and an insult without one is lone.
+PATTERNS = {"insult": "lone", "insult+": "addressed", "insult-": "softened", "insult+-": "softened", "threat+": "threat", "threat+-": "softened"}
+#: Sums over the matched clauses, the best clause (softened patterns apart), and one insult alone in the document.
+FEATURES = ("addressed", "threat", "softened", "recurring", "best", "single")
 
 
-def grammar() -> Machine:
-    """Target, then negation, then reported speech. A threat needs a target in reach to count in full."""
-    target = _countdown("t", "target", 5, 1.5, "+")
-    negation = _countdown("n", "negation", 3, 0.5, "-")
-    report = _countdown("r", "report", 8, 0.5, "-")
-    return compose(compose(target, negation, CLASSES), report, CLASSES)
+def grammar() -> tuple[Machine, Machine]:
+    """The machine that reads a clause from left to right, and the one that reads its output from right to left."""
+    target, report = _countdown("t", "target", 5, 1.5, "+"), _countdown("r", "report", 8, 0.5, "-")
+    forward = compose(compose(target, _countdown("n", "negation", 3, 0.5, "-"), CLASSES), report, CLASSES)
+    return forward, compose(target, report, MARKED)
 
 
 class Scorer:
@@ -100,13 +118,12 @@ class Scorer:
 
     def __init__(self, learned: dict[str, float]) -> None:
         self.classes: dict[str, tuple[str, float]] = {}
-        for kind, words, weight in (("report", REPORTS, 0.0), ("negation", NEGATIONS, 0.0), ("target", TARGETS, 0.0), ("threat", THREATS, 1.0), ("insult", INSULTS, SEED_WEIGHT)):
+        for kind, words, weight in (("report", REPORTS, 0.0), ("negation", NEGATIONS, 0.0), ("target", TARGETS, 0.0), ("threat", THREATS, THREAT_WEIGHT), ("insult", INSULTS, SEED_WEIGHT)):
             self.classes |= dict.fromkeys(words, (kind, weight))
         self.classes |= {w: ("insult", max(x, self.classes.get(w, ("", 0.0))[1])) for w, x in learned.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in learned.items() if w.endswith("*")}
         self.known: dict[str, tuple[str, float]] = {}
-        self.machine = grammar().arcs
-        self.start = grammar().start
+        self.forward, self.backward = grammar()
 
     def of(self, word: str) -> tuple[str, float]:
         found = self.known.get(word)
@@ -120,24 +137,31 @@ class Scorer:
             self.known[word] = found
         return found
 
+    def patterns(self, clause: str) -> list[tuple[str, float]]:
+        """(pattern, weight) of each insult or threat in the clause that has one."""
+        of = [self.of(w) for w in WORD.findall(clause)]
+        if not any(weight for _, weight in of):
+            return []
+        out, there = self.forward.run([kind for kind, _ in of])
+        out, back = self.backward.run(out[::-1])
+        found = [(PATTERNS.get(o), weight * x * y) for o, (_, weight), x, y in zip(out[::-1], of, there, back[::-1], strict=True) if weight]
+        return [(p, w) for p, w in found if p]
+
     def features(self, text: str | None) -> np.ndarray:
-        """log1p of the document's clause scores by output, and of the largest clause score."""
+        """FEATURES of a document, log1p of sums of weights; `single` is 1 or 0."""
         low = (text or "").lower()
         if not any(self.of(w)[1] for w in set(WORD.findall(low))):
-            return np.zeros(len(OUTPUTS) + 1)
-        sums, best, clause, state = dict.fromkeys(OUTPUTS, 0.0), 0.0, 0.0, self.start
-        for m in TOKEN.finditer(low):
-            token = m[0]
-            kind, weight = ("break", 0.0) if token in ".!?;\n" else self.of(token)
-            state, out, factor = self.machine[state, kind]
-            if kind == "break":
-                clause = 0.0
-            elif weight:
-                full = kind == "insult" or "+" in out
-                sums["softened" if "-" in out else "threat" if kind == "threat" else "targeted" if "+" in out else "plain"] += weight * factor * (1.0 if full else 0.1)
-                clause += weight * factor * (1.0 if full else 0.1)
-                best = max(best, clause)
-        return np.log1p([*sums.values(), best])
+            return np.zeros(len(FEATURES))
+        sums, best, n = dict.fromkeys(("addressed", "threat", "softened", "lone"), 0.0), 0.0, 0
+        for clause in CLAUSE.split(low):
+            matched = self.patterns(clause)
+            for pattern, weight in matched:
+                sums[pattern] += weight
+            n += len(matched)
+            best = max(best, sum(w for p, w in matched if p != "softened"))
+        single = n == 1 and sums["lone"] > 0
+        values = (sums["addressed"], sums["threat"], sums["softened"], 0.0 if single else sums["lone"], 0.0 if single else best)
+        return np.append(np.log1p(values), float(single))
 
 
 class Model(NamedTuple):
@@ -148,8 +172,8 @@ class Model(NamedTuple):
         return float(1.0 / (1.0 + np.exp(-np.clip(self.weights[0] + features @ np.array(self.weights[1:]), -30, 30))))
 
 
-def learn_lexicon(sample: DataFrame, rows: int = LEXICON_ROWS) -> dict[str, float]:
-    """Words and stems that mark toxic rows, with log-odds as weights. Equal texts count once."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Words and stems that mark toxic rows, with log-odds as weights. Equal texts count once; LEAST and SHARE bound how many there can be."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[str, list[int]] = {}
@@ -169,8 +193,7 @@ def learn_lexicon(sample: DataFrame, rows: int = LEXICON_ROWS) -> dict[str, floa
         map_slices(once, run, "key string, toxic long, clean long")
         .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(f"toxic >= {max(LEAST, n['toxic'] // SHARE)}")
-        .withColumn("odds", odds).where("odds >= 3.0")
-        .orderBy(F.desc("odds"), F.desc("toxic"), "key").limit(rows).collect()
+        .withColumn("odds", odds).where("odds >= 3.0").orderBy("key").collect()
     )
     return {r["key"]: round(min(r["odds"], 6.0), 6) for r in found}
 
@@ -184,12 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return pa.RecordBatch.from_arrays([pa.array([scorer.features(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     got = map_slices(sample, run, "x array<double>, y int", lambda: Scorer(lexicon)).collect()
-    return Model(lexicon, logistic(np.array([r["x"] for r in got], dtype=float).reshape(-1, len(OUTPUTS) + 1), np.array([r["y"] for r in got], dtype=float)))
+    return Model(lexicon, logistic(np.array([r["x"] for r in got], dtype=float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], dtype=float)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     """Newton steps, halved until they gain, for a ridge-penalised logistic fit around prior weights (bias first); the prior alone if there are no rows."""
-    prior = np.array([-4.0, 2.0, 2.0, 0.5, 1.0, 1.5])
+    prior = np.array([-4.0, 2.0, 2.0, 0.5, 1.0, 1.5, 0.0])
     if not len(y):
         return prior.tolist()
     z, w = np.column_stack([np.ones(len(y)), x]), prior.copy()
@@ -221,7 +244,11 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Rows of docs that score below the threshold, all columns, without a shuffle."""
+    """Rows of docs that score below the threshold, all columns, without a shuffle.
+
+    Defined results: null and empty texts hold no clause and stay; repeated rows stay or go together; an
+    empty table gives no rows; columns that clash with the operator's own are no trouble.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
