@@ -1,10 +1,10 @@
 """License scan: Dice coefficient over word bigrams against licence templates.
 
-Words are runs of a-z and 0-9 after lower-casing A-Z. The segments of a text are its lines, its blocks
-of lines between blank lines, and the whole text. A segment with a distinct bigrams can reach
-Dice t against a template with b only if t / (2 - t) * b <= a <= (2 - t) / t * b; templates outside
-these bounds are not compared. A licence that no segment reaches is looked for in every run of words
-within the same bounds, so that several paragraphs of a longer text, or part of a line, can match it.
+Words are runs of a-z and 0-9 after lower-casing A-Z. A licence is looked for in every run of words of
+the whole text, whatever lines and paragraphs the run covers. A run with a distinct bigrams can reach
+Dice t against a template with b only if t / (2 - t) * b <= a <= (2 - t) / t * b, and it must share at
+least the lower bound; so a template is compared only where so many of its bigrams stand between one of
+them and its next occurrence, and a run ends where it grows past the upper bound.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import map_slices
 
 THRESHOLD = 0.8
+#: Long texts (the whole Apache, GNU and Creative Commons texts) have their notices here; scan takes other templates.
 WORD = re.compile(rb"[a-z0-9]+")
 
 # Public licence notices and texts.
@@ -53,83 +54,136 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
+    "BSD-2-Clause": [
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ],
+    "BSD-3-Clause": [
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ],
+    "0BSD": [
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ],
+    "Unlicense": [
+        'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    ],
+    "WTFPL": [
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
+    ],
+    "MIT-0": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "PostgreSQL": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ],
+    "LGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "EUPL-1.2": [
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL; You may not use this work except in compliance with the Licence.",
+    ],
+    "CDDL-1.0": [
+        'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.',
+    ],
+    "MPL-1.1": [
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/',
+    ],
+    "Artistic-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0)."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is available with a FAQ at: https://openfontlicense.org"],
+    "ODbL-1.0": ["This database is made available under the Open Database License. Any rights in individual contents of the database are licensed under the Database Contents License."],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "Proprietary": ["All rights reserved."],
 }
 
 
-def bigrams(segment: str) -> set[bytes]:
-    words = WORD.findall(segment.encode("utf-8", "surrogatepass").lower())
-    return {a + b" " + b for a, b in zip(words, words[1:], strict=False)}
-
-
-def segments(text: str) -> set[str]:
-    return {*text.split("\n"), *text.split("\n\n"), text}
+def bigrams(text: str) -> list[bytes]:
+    """The bigrams of a text in order."""
+    words = WORD.findall(text.encode("utf-8", "surrogatepass").lower())
+    return [a + b" " + b for a, b in zip(words, words[1:], strict=False)]
 
 
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], threshold: float) -> None:
         self.threshold = threshold
-        self.templates = [(name, b) for name, texts in templates.items() for b in map(bigrams, texts) if b]
+        self.templates = [(name, b) for name, texts in templates.items() for b in map(frozenset, map(bigrams, texts)) if b]
         low, high = threshold / (2 - threshold), (2 - threshold) / threshold
         self.bounds = [(low * len(b) - 1e-9, high * len(b) + 1e-9) for _, b in self.templates]
         self.of: dict[bytes, list[int]] = {}
         for t, (_, b) in enumerate(self.templates):
             for gram in b:
                 self.of.setdefault(gram, []).append(t)
-        self.least = min((lo for lo, _ in self.bounds), default=float("inf"))
-        self.most = max((hi for _, hi in self.bounds), default=0.0)
 
     def matches(self, text: str | None) -> dict[str, float]:
-        """Licence -> best Dice, for those that reach the threshold in any segment."""
+        """Licence -> best Dice over all runs of words, for those that reach the threshold."""
+        grams, places = bigrams(text or ""), {}
+        for i, gram in enumerate(grams):
+            for t in self.of.get(gram, ()):
+                places.setdefault(t, []).append(i)
         best: dict[str, float] = {}
-        for segment in segments(text or ""):
-            if len(segment) < 2 * self.least:  # too short to hold so many bigrams
-                continue
-            own = bigrams(segment)
-            if not self.least <= len(own) <= self.most:
-                continue
-            for (name, template), (lo, hi) in zip(self.templates, self.bounds, strict=True):
-                if lo <= len(own) <= hi and (dice := 2 * len(own & template) / (len(own) + len(template))) >= self.threshold:
-                    best[name] = max(best.get(name, 0.0), dice)
-        return self._runs(text or "", best) | best
+        for t, own in places.items():
+            dice = self._best_run(grams, own, *self.templates[t], *self.bounds[t])
+            if dice >= self.threshold:
+                name = self.templates[t][0]
+                best[name] = max(best.get(name, 0.0), dice)
+        return best
 
-    def _runs(self, text: str, found: dict[str, float]) -> dict[str, float]:
-        """Licence -> best Dice over all runs of words, for licences not found yet.
+    @staticmethod
+    def _best_run(grams: list[bytes], places: list[int], _name: str, template: frozenset[bytes], low: float, high: float) -> float:
+        """A best run begins at a bigram of the template that does not come again in it, and ends at one.
 
-        A best run starts at a bigram of the template that does not come again in it, so each start is
-        followed to its next occurrence at most.
+        So each start is followed to its own next occurrence at most, if enough of the template's bigrams stand before that.
         """
-        words = WORD.findall(text.encode("utf-8", "surrogatepass").lower())
-        grams = [a + b" " + b for a, b in zip(words, words[1:], strict=False)]
-        starts: dict[int, list[int]] = {}
-        for i, gram in enumerate(grams):
-            for t in self.of.get(gram, ()):
-                starts.setdefault(t, []).append(i)
-        best: dict[str, float] = {}
-        for t, places in starts.items():
-            (name, template), (lo, hi) = self.templates[t], self.bounds[t]
-            if name in found or len(places) < lo or len({grams[i] for i in places}) < lo:
+        if len(places) < low or len({grams[i] for i in places}) < low:
+            return 0.0
+        until, seen_at = [len(places)] * len(places), {}
+        for k in range(len(places) - 1, -1, -1):
+            until[k] = seen_at.get(grams[places[k]], len(places))
+            seen_at[grams[places[k]]] = k
+        best = 0.0
+        for k, i in enumerate(places):
+            if until[k] - k < low:
                 continue
-            for i in places:
-                seen, common = {grams[i]}, 1
-                for j in range(i, len(grams)):
-                    if j > i and grams[j] == grams[i]:
-                        break
-                    if grams[j] not in seen:
-                        seen.add(grams[j])
-                        common += grams[j] in template
-                    if len(seen) > hi:
-                        break
-                    if (dice := 2 * common / (len(seen) + len(template))) >= self.threshold:
-                        best[name] = max(best.get(name, 0.0), dice)
+            seen, common = set(), 0
+            for j in range(i, places[until[k] - 1] + 1):
+                if grams[j] not in seen:
+                    seen.add(grams[j])
+                    common += grams[j] in template
+                if len(seen) > high:
+                    break
+                best = max(best, 2 * common / (len(seen) + len(template)))
         return best
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, licenses array<string>, dice array<double>) of every row of docs, by licence name.
 
-    Defined results: null, empty and wordless texts match nothing; ties and several licences are all
-    kept; repeated rows give repeated rows; columns besides doc_id and text are ignored.
+    Defined results: null, empty and wordless texts match nothing; ties and several licences, also
+    variants of one text that reach the threshold, are all kept, each with its Dice; repeated rows give
+    repeated rows; an empty table gives no rows; columns besides doc_id and text are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -146,21 +200,20 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, texts in TEMPLATES.items() for t in texts)
-    grams = "list_distinct(list_transform(generate_series(1, len({w}) - 1), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    quoted = ",\n  ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, texts in TEMPLATES.items() for t in texts)
     words = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+    grams = "list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
-WITH t AS (SELECT name, {words.format(t="text")} AS w FROM (VALUES {quoted}) v(name, text)),
-tb AS (SELECT name, {grams.format(w="w")} AS b FROM t),
-s AS (SELECT DISTINCT doc_id, s FROM (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents
-  UNION ALL SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) FROM documents
-  UNION ALL SELECT doc_id, text FROM documents)),
-sw AS (SELECT doc_id, {words.format(t="s")} AS w FROM s),
-sb AS (SELECT doc_id, {grams.format(w="w")} AS a FROM sw WHERE len(w) BETWEEN 2 AND 2000),
-m AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-  FROM sb JOIN tb ON len(a) BETWEEN len(b) * 0.6 AND len(b) * 1.6),
-g AS (SELECT doc_id, name, max(dice) AS dice FROM m WHERE dice >= {THRESHOLD} GROUP BY ALL),
-d AS (SELECT doc_id, string_agg(name, ';' ORDER BY name) AS licenses, max(dice) AS dice FROM g GROUP BY doc_id)
-SELECT documents.doc_id, coalesce(licenses, '') AS licenses, round(coalesce(dice, 0.0)::DOUBLE, 6) AS best_dice FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
+WITH t AS (SELECT row_number() OVER () AS id, name, list_distinct({grams}) AS b FROM (SELECT name, {words.format(t="text")} AS w FROM (VALUES
+  {quoted}) v(name, text))),
+d AS (SELECT row_number() OVER () AS d, doc_id, text FROM documents),
+g AS (SELECT d, {grams} AS gs FROM (SELECT d, {words.format(t="text")} AS w FROM d)),
+h AS (SELECT d, id, i, gram FROM (SELECT d, unnest(generate_series(1, len(gs))) AS i, unnest(gs) AS gram FROM g) JOIN (SELECT id, unnest(b) AS gram FROM t) USING (gram)),
+c AS (SELECT d, h.id FROM h JOIN t ON h.id = t.id GROUP BY d, h.id, len(b) HAVING count(DISTINCT gram) >= {THRESHOLD / (2 - THRESHOLD)} * len(b) - 1e-9),
+p AS (SELECT h.*, lead(i) OVER (PARTITION BY d, id, gram ORDER BY i) AS nxt FROM h SEMI JOIN c USING (d, id)),
+r AS (SELECT DISTINCT x.d, x.id, x.i AS lo, y.i AS hi FROM p AS x JOIN p AS y ON x.d = y.d AND x.id = y.id AND y.i >= x.i AND (x.nxt IS NULL OR y.i < x.nxt)),
+s AS (SELECT r.d, name, b, list_distinct(gs[lo:hi]) AS a FROM r JOIN g ON r.d = g.d JOIN t ON r.id = t.id),
+m AS (SELECT d, name, max(2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b))) AS dice FROM s GROUP BY d, name),
+k AS (SELECT d, string_agg(name, ';' ORDER BY name) AS licenses, max(dice) AS dice FROM m WHERE dice >= {THRESHOLD} GROUP BY d)
+SELECT doc_id, coalesce(licenses, '') AS licenses, round(coalesce(dice, 0.0)::DOUBLE, 6) AS best_dice FROM d LEFT JOIN k ON d.d = k.d
 """
