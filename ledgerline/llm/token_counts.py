@@ -81,17 +81,25 @@ def write_flat(docs: DataFrame, path: str = RANKS_PATH, block_ids: int = BLOCK_I
 
 
 def read_flat(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, data) from stored files of 16-bit little-endian ids; a file is read whole by one task."""
+    """(file, block, data) from stored files of 16-bit little-endian ids, of any length.
+
+    Only names and lengths are listed by Spark; each block is a range of bytes that a task reads by itself,
+    so a long file is dealt over many tasks. path is on a store that pyarrow.fs knows (file, hdfs, s3, gs).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_buffer()
-                for k in range(0, max(1, -(-data.size // (2 * block_ids)))):
-                    part = data.slice(k * 2 * block_ids, min(2 * block_ids, data.size - k * 2 * block_ids)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], names=["file", "block", "data"])
+            for name, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, at = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                with store.open_input_file(at) as file:
+                    data = file.read_at(min(2 * block_ids, length - 2 * block_ids * block), 2 * block_ids * block) if length else b""
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
 
-    return map_batches(spark.read.format("binaryFile").load(path).select("path", "content"), run, "file string, block long, data binary")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / (2 * block_ids)) - 1, F.lit(0)))).alias("block"))
+    return map_batches(ranges.repartition("path", "block"), run, "file string, block long, data binary")
 
 
 def separator_scan(blocks: DataFrame, end: int = END, level: int = LEVEL) -> DataFrame:
@@ -125,6 +133,8 @@ def separator_scan(blocks: DataFrame, end: int = END, level: int = LEVEL) -> Dat
 def count_tokens(docs: DataFrame, path: str = RANKS_PATH, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(doc_id, n_tokens) of every row of docs, from its flat token files.
 
+    The flat files are written as rows of a table, a block of ids each, so that they lie in the shared
+    folder whatever its store; read_flat makes the same rows of files that are stored as such.
     Defined results: null and empty texts have 0 tokens; repeated rows give repeated rows; an empty
     table gives no rows; columns besides doc_id and text are ignored.
     """
