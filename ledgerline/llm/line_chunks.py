@@ -29,6 +29,8 @@ from ledgerline.llm.common import cut
 LONG_WORDS = 50
 #: Weight of a line against the one before it in the rolling hash.
 FACTOR = 31
+#: Occurrences from which a key is dealt over SALTS tasks.
+HOT, SALTS = 256, 64
 #: Seeds that are tried; a second is needed only if two lines of the table share a 64-bit hash.
 SEEDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,19 +97,23 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 def repeats(docs: DataFrame, seed: int) -> DataFrame:
     """(doc_id, v, gone, needed): the numbers, among lines with words, of those that a text loses and of those that others lose for it."""
-    place = F.struct("doc_id", "v", "i")
-    again = _boundaries(docs, seed).select("key", place.alias("place")).groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    again = cut(again.where("first < last").select("key", "first"), "line-keys")
-    marked = cut(_boundaries(docs, seed).join(again, "key").select("key", place.alias("place"), "before", "after", "first"), "line-marks")
-    first = marked.where("place = first").dropDuplicates(["key"]).select("key", F.col("before").alias("before0"), F.col("after").alias("after0"))
-    met = marked.where("place <> first").dropDuplicates(["key", "place"]).join(first, "key")
+    keys = _boundaries(docs, seed).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # counts of longs: hashed, not sorted
+    again = cut(keys, "line-keys")
+    place = F.struct("doc_id", "v", "i").alias("place")
+    marked = cut(_boundaries(docs, seed).join(again.hint("merge"), "key").select("key", place, "before", "after", "n"), "line-marks")
+    first = marked.groupBy("key").agg(F.min(F.struct("place", "before", "after")).alias("x"), F.max("n").alias("n"))
+    # a key that very many texts share is dealt over SALTS tasks; its first occurrence goes to each
+    last = F.when(F.col("n") > HOT, SALTS - 1).otherwise(0)
+    first = first.select("key", F.col("x.place").alias("first"), F.col("x.before").alias("before0"), F.col("x.after").alias("after0"), F.explode(F.sequence(F.lit(0), last)).alias("salt"))
+    met = marked.withColumn("salt", F.when(F.col("n") > HOT, F.pmod(F.xxhash64("place"), F.lit(SALTS))).otherwise(0).cast("int"))
+    met = met.join(first, ["key", "salt"]).where("place <> first")
     met = met.select("place", "first", "before", "after", _agreeing(F.reverse("before"), F.reverse("before0")).alias("back"), _agreeing(F.col("after"), F.col("after0")).alias("on"))
     ahead = lambda at: F.when(F.col("on") > 0, F.sequence(at - F.col("back"), at + F.col("on") - 1))
     both = met.where("back + on >= 2 OR size(before) = 0").select(
         F.explode(F.array(F.struct("place.doc_id", "place.v", ahead(F.col("place.i")).alias("gone"), F.lit(None).cast("array<int>").alias("needed")),
                           F.struct("first.doc_id", "first.v", F.lit(None).cast("array<int>").alias("gone"), ahead(F.col("first.i")).alias("needed")))).alias("x")).select("x.*")
-    lines = both.select("doc_id", "v", F.explode(F.coalesce("gone", "needed")).alias("line"), F.col("gone").isNotNull().alias("goes")).distinct()
-    return lines.groupBy("doc_id", "v").agg(F.collect_list(F.when(F.col("goes"), F.col("line"))).alias("gone"), F.collect_list(F.when(~F.col("goes"), F.col("line"))).alias("needed"))
+    lines = both.select("doc_id", "v", F.explode(F.coalesce("gone", "needed")).alias("line"), F.col("gone").isNotNull().alias("goes"))
+    return lines.groupBy("doc_id", "v").agg(F.collect_set(F.when(F.col("goes"), F.col("line"))).alias("gone"), F.collect_set(F.when(~F.col("goes"), F.col("line"))).alias("needed"))
 
 
 def _in_lines(text: Column, worded: Column) -> Column:
@@ -138,7 +144,8 @@ def held(docs: DataFrame) -> DataFrame:
     for seed in range(SEEDS):
         gone = cut(repeats(docs, seed), "line-repeats")
         known = (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64(F.col("row.text")) == F.col("v"))
-        found = cut(rows.join(gone, known, "left").select("row", "gone", "needed"), "line-chunks")
+        # what a text loses grows with the texts, so at no size is it broadcast
+        found = cut(rows.join(gone.hint("merge"), known, "left").select("row", "gone", "needed"), "line-chunks")
         if not _clash(found, seed):
             return found
     raise ValueError(f"two lines share their hash under each of {SEEDS} seeds")
