@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import checks, decisions, extracts, mart, publications, relations, statistics, texts  # noqa: F401  importing a module registers its queries
+from ledgerline.plans import checks, combined, decisions, extracts, mart, publications, relations, statistics, texts  # noqa: F401  importing a module registers its queries
 from ledgerline.plans.stand_in import ORACLE, QUERIES, Query
 
 

@@ -13,9 +13,55 @@ def normalise(label: Column) -> Column:
 
 def callout(text: Column) -> tuple[Column, Column]:
     """Name and number of 'Name (1,234.5)'; nulls where the text has another form."""
-    name = F.nullif(F.regexp_extract(text, r"^\s*([^()]+?)\s*\(([\d,]+(?:\.\d+)?)\)\s*$", 1), F.lit(""))
-    number = F.nullif(F.regexp_extract(text, r"^\s*([^()]+?)\s*\(([\d,]+(?:\.\d+)?)\)\s*$", 2), F.lit(""))
-    return name, F.replace(number, F.lit(","), F.lit("")).try_cast("double")
+    body = F.trim(text)
+    inside = F.rtrim(F.substring_index(body, "(", -1))  # what follows the last parenthesis
+    name = F.nullif(F.trim(F.left(body, F.length(body) - F.length(F.substring_index(body, "(", -1)) - 1)), F.lit(""))
+    number = F.replace(F.left(inside, F.length(inside) - 1), F.lit(","), F.lit("")).try_cast("double")
+    whole = inside.endswith(")") & F.contains(body, F.lit("(")) & number.isNotNull() & name.isNotNull()
+    return F.when(whole, name), F.when(whole, number)
+
+
+def cell_reference(text: Column) -> tuple[Column, Column]:
+    """Column letters and row number of a sheet reference such as 'AB12'; nulls for other texts."""
+    letters, digits = F.translate(text, "0123456789", ""), F.translate(F.upper(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")
+    whole = (F.length(letters) > 0) & (F.length(digits) > 0) & (F.concat(letters, digits) == text)
+    return F.when(whole, letters), F.when(whole, digits.try_cast("int"))
+
+
+def column_index(letters: Column) -> Column:
+    """1-based index of sheet column letters: A..Z, AA..ZZ and on."""
+    chars = F.transform(F.filter(F.split(letters, ""), lambda x: x != ""), lambda x: F.ascii(x) - 64)
+    return F.aggregate(chars, F.lit(0), lambda n, x: n * 26 + x)
+
+
+def classify(label: Column, dimension: dict[str, str], otherwise: str = "UNCLASSIFIED") -> Column:
+    """Class of a label by a small fixed dimension of normalised names; others are named, not dropped."""
+    known = F.create_map(*[F.lit(x) for pair in dimension.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, normalise(label)), F.lit(otherwise))
+
+
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def _month_number(name: Column) -> Column:
+    at = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.left(name, F.lit(3))))
+    return F.when(at > 0, at.cast("int"))
+
+
+def period(label: Column) -> tuple[Column, Column]:
+    """First and last month of a period label, as first days; nulls where it has no known form.
+
+    Forms: 'Mar 1997', 'March 1997', 'Mar-97' (with or without words before), 'Jan-Mar 1997', 'Jan 1996 - Mar 1997',
+    '1st March 1997'. Two-digit years are those from 1951 to 2050.
+    """
+    name, year = r"([A-Za-z]{3,9})", r"(\d{4}|\d{2})"
+    form = rf"(?:^|\s)(?:\d{{1,2}}(?:st|nd|rd|th)\s+)?{name}(?:[ -]{year})?(?:\s*-\s*{name}[ -]{year})?\s*$"
+    part = lambda k: F.nullif(F.regexp_extract(F.trim(label), form, k), F.lit(""))
+    full = lambda y: F.when(F.length(y) == 2, F.when(y.cast("int") > 50, 1900).otherwise(2000) + y.cast("int")).otherwise(y.cast("int"))
+    last_year = full(F.coalesce(part(4), part(2)))
+    first, last = F.make_date(full(F.coalesce(part(2), part(4))), _month_number(part(1)), F.lit(1)), F.make_date(last_year, _month_number(F.coalesce(part(3), part(1))), F.lit(1))
+    whole = first.isNotNull() & last.isNotNull() & (first <= last)
+    return F.when(whole, first), F.when(whole, last)
 
 
 def month_of_label(label: Column) -> Column:

@@ -8,9 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once; nulls count as equal."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+def duplicates(df: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
+    """Keys that occur more than once, among the rows for which `where` holds, if given; nulls count as equal."""
+    rows = df if where is None else df.where(where)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+
+
+def duplicate_of(df: DataFrame, keys: list[str], signature: list[str], row_id: str) -> DataFrame:
+    """df with status and duplicate_of: the row with the smallest id of a key is ACTIVE; a row whose signature an earlier one of the key has is its EXACT_DUPLICATE; others CONFLICT with the ACTIVE one.
+
+    Minima are aggregated and joined back, so a key with very many rows is no group in one task.
+    """
+    twin = df.groupBy(*keys, *signature).agg(F.min(row_id).alias("__twin"))
+    kept = twin.groupBy(*keys).agg(F.min("__twin").alias("__kept"))
+    by = twin.select(*[F.col(c).alias(f"__{c}") for c in (*keys, *signature)], "__twin")
+    same = lambda cols: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols])
+    first = kept.select(*[F.col(c).alias(f"__{c}") for c in keys], "__kept")
+    marked = by.join(first, [f"__{c}" for c in keys])
+    out = df.join(marked, same([*keys, *signature]))
+    me = F.col(row_id)
+    status = F.when(me == F.col("__kept"), "ACTIVE").when(me > F.col("__twin"), "EXACT_DUPLICATE").otherwise("CONFLICT")
+    of = F.when(me == F.col("__kept"), None).when(me > F.col("__twin"), F.col("__twin")).otherwise(F.col("__kept"))
+    return out.select(*df.columns, status.alias("status"), of.alias("duplicate_of"))
+
+
+def offending(df: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataFrame:
+    """(check_name, keys, n_rows): the keys of the rows that break each check, in one pass; a check that is null passes."""
+    broken = F.filter(F.array(*[F.when(~c, name) for name, c in checks.items()]), lambda x: x.isNotNull())
+    return df.select(*keys, F.explode(broken).alias("check_name")).groupBy("check_name", *keys).agg(F.count("*").alias("n_rows"))
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

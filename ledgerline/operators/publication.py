@@ -48,10 +48,19 @@ def difference_kind(new: Column, old: Column, conflict: float = 0.5) -> Column:
     return F.when(new == old, "IDENTICAL").when(gap < 1e-12, "PRECISION_ONLY").when(gap >= conflict, "KNOWN_CONFLICT").otherwise("SUBSTANTIVE")
 
 
-def overlap(df: DataFrame, keys: list[str], months: int) -> DataFrame:
-    """Pairs of the same observation in releases that lie the given months apart."""
-    before = df.select(*keys, F.add_months("rel", months).alias("rel"), F.col("value").alias("old_value"))
-    return df.join(before, [*keys, "rel"]).select(*keys, "rel", F.col("value").alias("new_value"), "old_value", difference_kind(F.col("value"), F.col("old_value")).alias("kind"))
+def overlap(df: DataFrame, keys: list[str], months: list[int]) -> DataFrame:
+    """Pairs of the same observation in releases that lie one of the given months apart (lag_months), from one self-join."""
+    lag = F.explode(F.array(*[F.lit(m) for m in months])).alias("lag_months")
+    before = df.select(*keys, lag, "rel", F.col("value").alias("old_value")).withColumn("rel", F.expr("add_months(rel, lag_months)"))
+    return df.join(before, [*keys, "rel"]).select(*keys, "lag_months", "rel", F.col("value").alias("new_value"), "old_value", difference_kind(F.col("value"), F.col("old_value")).alias("kind"))
+
+
+def all_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Every two releases of the same observation, earlier and later; an observation has as many releases as months at most."""
+    a = df.select(*keys, F.col("rel").alias("earlier"), F.col("value").alias("old_value"))
+    b = df.select(*keys, F.col("rel").alias("later"), F.col("value").alias("new_value"))
+    apart = F.months_between("later", "earlier").cast("int")
+    return a.join(b, keys).where("earlier < later").withColumns({"months_apart": apart, "kind": difference_kind(F.col("new_value"), F.col("old_value"))})
 
 
 def duplicate_kinds(df: DataFrame, keys: list[str], signature: list[str]) -> DataFrame:

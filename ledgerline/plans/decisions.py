@@ -79,14 +79,11 @@ WINDOWS = [("FULL", FIRST_YEAR, LAST_YEAR), ("RECENT", 1998, LAST_YEAR), ("FUTUR
 )
 def exposure_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows x metrics; a series that is absent from a window shows 0 jurisdictions and nulls."""
-    rows = yearly(spark, sf_dir)
-    names = rows.select("metric").distinct()
-    out = None
-    for label, lo, hi in WINDOWS:
-        pct = change.endpoints(rows, ["entity", "metric"], "year", "value", lo, hi).select("entity", "metric", "pct")
-        one = names.join(pct, "metric", "left").groupBy("metric").agg(F.countDistinct("entity").alias("jurisdictions"), r6(F.median("pct")).alias("median_pct"), r6(F.median("pct") / 100).alias("impact_per_pp")).withColumn("label", F.lit(label))
-        out = one if out is None else out.unionByName(one)
-    return out
+    at = lambda year: F.max(F.when(F.col("year") == year, F.col("value")))
+    ends = yearly(spark, sf_dir).groupBy("entity", "metric").agg(*[at(y).alias(f"y{y}") for y in sorted({y for _, lo, hi in WINDOWS for y in (lo, hi)})])
+    windows = F.array(*[F.struct(F.lit(label).alias("label"), change.ratio_pct(F.col(f"y{hi}"), F.col(f"y{lo}")).alias("pct")) for label, lo, hi in WINDOWS])
+    pct = ends.select("entity", "metric", F.explode(windows).alias("w")).select("metric", "w.label", "w.pct", F.when(F.col("w.pct").isNotNull(), F.col("entity")).alias("entity"))
+    return pct.groupBy("label", "metric").agg(F.countDistinct("entity").alias("jurisdictions"), r6(F.median("pct")).alias("median_pct"), r6(F.median("pct") / 100).alias("impact_per_pp"))
 
 
 @query(

@@ -76,8 +76,8 @@ def latest_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT entity, 'BOTH' AS side FROM (SELECT DISTINCT entity FROM yearly WHERE n >= hi INTERSECT SELECT DISTINCT entity FROM yearly WHERE year = {LAST_YEAR} AND metric = '5-LOW' AND value > 0)
-    UNION ALL SELECT entity, 'ONLY_FIRST' FROM (SELECT DISTINCT entity FROM yearly WHERE zone IN ('{"', '".join(SOUTH)}') EXCEPT SELECT DISTINCT entity FROM yearly WHERE n >= hi)""".replace("n >= hi", "n >= 12"),
+    f"""SELECT entity, 'BOTH' AS side FROM (SELECT DISTINCT entity FROM yearly WHERE n >= 12 INTERSECT SELECT DISTINCT entity FROM yearly WHERE year = {LAST_YEAR} AND metric = '5-LOW' AND value > 0)
+    UNION ALL SELECT entity, 'ONLY_FIRST' FROM (SELECT DISTINCT entity FROM yearly WHERE zone IN ('{"', '".join(SOUTH)}') EXCEPT SELECT DISTINCT entity FROM yearly WHERE n >= 12)""",
     YEARLY,
 )
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:

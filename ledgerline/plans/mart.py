@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import labels
 from ledgerline.operators import publication as pub
+from ledgerline.operators import ranking
 from ledgerline.plans.publications import valid
 from ledgerline.plans.stand_in import FIRST_YEAR, LAST_YEAR, LATEST, MONTHLY, PUBLISHED, YEARLY, monthly, placed_orders, places, published, query, r6, yearly
 from ledgerline.sources.tables import table
@@ -124,8 +125,11 @@ def band_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     part, supplier = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     rows = sold.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
-    q = lambda p: r6(F.percentile("p_retailprice", F.lit(p)))
-    return rows.groupBy("zone", "entity", F.col("p_type").alias("band")).agg(F.count("*").alias("n"), q(0.5).alias("median_price"), q(0.25).alias("p25"), q(0.75).alias("p75"))
+    keys = ["zone", "entity", "band"]
+    rows = rows.select("zone", "entity", F.col("p_type").alias("band"), "p_retailprice")
+    found = ranking.quantiles(rows, keys, "p_retailprice", {"median_price": 0.5, "p25": 0.25, "p75": 0.75})
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.join(found, keys, "left").select(*keys, "n", *[r6(c).alias(c) for c in ("median_price", "p25", "p75")])
 
 
 @query(
@@ -147,7 +151,7 @@ def fx_monthly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fx_band_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("day"), "value")
-    band = rows.groupBy("event_type", "day").agg(F.percentile("value", F.lit(0.1)).alias("lo"), F.percentile("value", F.lit(0.9)).alias("hi"))
+    band = ranking.quantiles(rows, ["event_type", "day"], "value", {"lo": 0.1, "hi": 0.9})
     out = rows.join(band, ["event_type", "day"]).where(~F.col("value").between(F.col("lo"), F.col("hi")))
     return out.select("event_id", "event_type", "day", "value", F.when(F.col("value") < F.col("lo"), "BELOW").otherwise("ABOVE").alias("side"))
 

@@ -93,9 +93,7 @@ def cross_release_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     PUBLISHED,
 )
 def overlap_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = valid(spark, sf_dir)
-    both = [pub.overlap(rows, ["entity", "obs"], m).withColumn("lag_months", F.lit(m)) for m in (1, 12)]
-    return both[0].unionByName(both[1]).groupBy("entity", "lag_months", "kind").agg(F.count("*").alias("n"))
+    return pub.overlap(valid(spark, sf_dir), ["entity", "obs"], [1, 12]).groupBy("entity", "lag_months", "kind").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -220,35 +220,34 @@ def quartile_stickiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("metric").agg(r6(F.avg(F.when(F.col("prev"), high))).alias("p_high_after_high"), r6(F.avg(F.when(~F.col("prev"), high))).alias("p_high_after_other"), F.count("prev").alias("n"))
 
 
-def permutation_test(spark: SparkSession, sf_dir: str, draws: int = 10_000, seed: int = 20260916) -> DataFrame:
-    """Could chance alone put as many entities as seen into the high quartile of three metrics or more?
+DRAWS, DRAW_SEED, MANY_METRICS, HIGH_YEARS = 10_000, 20260916, 3, 2
+DRAWN = f"""sizes AS (SELECT metric, count(*) FILTER (WHERE n_high >= {HIGH_YEARS}) AS k FROM persist GROUP BY metric),
+places AS (SELECT draw, entity, metric, row_number() OVER (PARTITION BY draw, metric ORDER BY md5('{DRAW_SEED}|' || draw || '|' || metric || '|' || entity), entity) AS place
+  FROM range({DRAWS}) d(draw), (SELECT DISTINCT entity FROM persist), sizes),
+tallies AS (SELECT draw, entity, count(*) FILTER (WHERE place <= k) AS m FROM places JOIN sizes USING (metric) GROUP BY draw, entity),
+null_draws AS (SELECT draw, count(*) FILTER (WHERE m >= {MANY_METRICS}) AS many, max(m) AS largest FROM tallies GROUP BY draw),
+seen AS (SELECT count(*) FILTER (WHERE m >= {MANY_METRICS}) AS seen_many, max(m) AS seen_largest FROM (SELECT entity, count(*) FILTER (WHERE n_high >= {HIGH_YEARS}) AS m FROM persist GROUP BY entity))"""
 
-    Each draw gives every metric its observed number of high entities at random. The draws are dealt
-    over tasks by seed, so the result does not depend on the number of tasks. No SQL can draw alike.
-    """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
-    rows = persist(spark, sf_dir).withColumn("on", F.col("n_high") >= 2)
-    sizes = rows.groupBy("metric").agg(F.count_if("on").alias("k")).orderBy("metric").collect()  # one row a metric
-    n = rows.select("entity").distinct().count()
-    seen = rows.groupBy("entity").agg(F.count_if("on").alias("m")).where("m >= 3").count()
-    ks = [r["k"] for r in sizes]
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            tops = []
-            for i in frame["id"]:
-                rng, hits = np.random.default_rng([seed, int(i)]), np.zeros(n, dtype=int)
-                for k in ks:
-                    hits[rng.choice(n, size=k, replace=False)] += 1
-                tops.append(int((hits >= 3).sum()))
-            yield pd.DataFrame({"top": tops})
-
-    drawn = spark.range(draws).mapInPandas(draw, "top long")
-    return drawn.agg(F.lit(seen).cast("long").alias("observed"), F.round(F.avg("top"), 6).alias("mean_null"), F.avg((F.col("top") >= seen).cast("int")).alias("p_value"), F.count("*").alias("draws"))
 
+@query(
+    """SELECT statistic, max(observed)::BIGINT AS observed, round(avg(drawn), 6) AS mean_null, round(avg((drawn >= observed)::INT), 6) AS p_value, count(*) AS draws FROM (
+    SELECT 'entities_with_many' AS statistic, many AS drawn, seen_many AS observed FROM null_draws, seen UNION ALL SELECT 'largest_count', largest, seen_largest FROM null_draws, seen) GROUP BY statistic""",
+    YEARLY, RANKED, MARKED, PERSIST, DRAWN,
+)
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Could chance alone put so many entities into the high quartile of many metrics, or one entity into so many?
 
-query()(permutation_test)
+    A draw gives each metric its observed number of high entities: those whose digest of seed, draw, metric
+    and entity is smallest. Draws x metrics x entities rows, ranked in groups of entities.
+    """
+    rows = persist(spark, sf_dir).withColumn("on", F.col("n_high") >= HIGH_YEARS)
+    sizes = rows.groupBy("metric").agg(F.count_if("on").alias("k"))
+    grid = spark.range(DRAWS).withColumnRenamed("id", "draw").join(F.broadcast(rows.select("entity").distinct().crossJoin(sizes)))  # entities x metrics: the panel's own grid
+    digest = F.md5(F.concat_ws("|", F.lit(str(DRAW_SEED)), "draw", "metric", "entity").cast("binary"))
+    place = F.row_number().over(Window.partitionBy("draw", "metric").orderBy(digest, "entity"))
+    hits = grid.withColumn("place", place).groupBy("draw", "entity").agg(F.count_if(F.col("place") <= F.col("k")).alias("m"))
+    both = lambda df: df.agg(F.count_if(F.col("m") >= MANY_METRICS).alias("entities_with_many"), F.max("m").alias("largest_count"))
+    drawn = both(hits.groupBy("draw")).unpivot("draw", ["entities_with_many", "largest_count"], "statistic", "drawn")
+    seen = both(rows.groupBy("entity").agg(F.count_if("on").alias("m"))).unpivot([], ["entities_with_many", "largest_count"], "statistic", "observed")
+    out = drawn.join(seen, "statistic").groupBy("statistic")
+    return out.agg(F.max("observed").alias("observed"), r6(F.avg("drawn")).alias("mean_null"), r6(F.avg((F.col("drawn") >= F.col("observed")).cast("int"))).alias("p_value"), F.count("*").alias("draws"))

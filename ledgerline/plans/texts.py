@@ -17,8 +17,8 @@ def label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT name, count(*) AS n, round(sum(price::DECIMAL(18,2))::DOUBLE, 6) AS total FROM (SELECT regexp_extract(t, '^\s*([^()]+?)\s*\(([\d,]+(?:\.\d+)?)\)\s*$', 1) AS name,
-    replace(regexp_extract(t, '^\s*([^()]+?)\s*\(([\d,]+(?:\.\d+)?)\)\s*$', 2), ',', '')::DOUBLE AS price
+    """SELECT name, count(*) AS n, round(sum(price::DECIMAL(18,2))::DOUBLE, 6) AS total FROM (SELECT trim(left(t, length(t) - length(list_last(string_split(t, '('))) - 1)) AS name,
+    TRY_CAST(replace(rtrim(list_last(string_split(t, '(')), ')'), ',', '') AS DOUBLE) AS price
     FROM (SELECT p_brand || ' (' || (p_size // 10) || ',' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '.5)' AS t FROM part)) GROUP BY name"""
 )
 def regex_callout_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +28,17 @@ def regex_callout_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, member FROM (SELECT p_partkey, unnest(parts) AS member, parts FROM (SELECT p_partkey, string_split(p_type || '/' || upper(p_brand), '/') AS parts FROM part))
-    WHERE len(list_filter(parts, lambda x: x NOT IN (SELECT p_type FROM part) AND NOT starts_with(x, 'BRAND#1'))) = 0""".replace("x NOT IN (SELECT p_type FROM part) AND ", "position('/' IN x) = 0 AND x = upper(x) AND starts_with(x, 'BRAND') AND ")
+    """SELECT p_partkey, member FROM (SELECT p_partkey, unnest(string_split(p_type || '/' || p_brand, '/')) AS member FROM part) WHERE p_partkey NOT IN (
+    SELECT p_partkey FROM (SELECT p_partkey, unnest(string_split(p_type || '/' || p_brand, '/')) AS member FROM part)
+    WHERE member NOT IN (SELECT p_type FROM part UNION SELECT p_brand FROM part WHERE p_partkey <= 12))"""
 )
 def slash_tie_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """'A/B' becomes two rows only if every part resolves."""
-    parts = F.split(F.concat("p_type", F.lit("/"), F.upper("p_brand")), "/")
-    unknown = F.filter(parts, lambda x: x.startswith("BRAND") & ~x.startswith("BRAND#1"))
-    return table(spark, sf_dir, "part").where(F.size(unknown) == 0).select("p_partkey", F.explode(parts).alias("member"))
+    """'A/B' becomes two rows only if every part is in the dimension: known types, and the brands of the first parts."""
+    part = table(spark, sf_dir, "part")
+    known = part.select(F.col("p_type").alias("member")).union(part.where("p_partkey <= 12").select("p_brand")).distinct()
+    rows = part.select("p_partkey", F.explode(F.split(F.concat_ws("/", "p_type", "p_brand"), "/")).alias("member"))
+    unresolved = rows.join(known, "member", "left_anti").select("p_partkey").distinct()
+    return rows.join(unresolved, "p_partkey", "left_anti").select("p_partkey", "member")
 
 
 PREFIXES = [("part-1", "ONE"), ("part-19", "NINETEEN"), ("part-2", "TWO"), ("part-", "OTHER")]
@@ -68,21 +71,76 @@ def a1_column_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("index"), labels.column_letter(F.col("p_size") * 14 - 13).alias("letter")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT month, count(*) AS n FROM (SELECT date_trunc('month', o_orderdate)::DATE AS month FROM orders) WHERE year(month) BETWEEN 1995 AND 2005 GROUP BY month")
+@query("SELECT month, count(*) AS n FROM (SELECT date_trunc('month', o_orderdate)::DATE AS month FROM orders) GROUP BY month")
 def month_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months written as labels ('Average of Mar-97', two-digit years from 2000 on by rule) and read back."""
-    rows = table(spark, sf_dir, "orders").where(F.year("o_orderdate").between(1995, 2005))
+    """Months written as labels ('Average of Mar-97') and read back; two-digit years are those from 1951 to 2050."""
     label = F.concat(F.lit("Average of "), F.date_format("o_orderdate", "MMM-yy"))
-    parsed = labels.month_of_label(label)  # 97 reads as 2097
-    month = F.when(F.year(parsed) > 2050, F.add_months(parsed, -1200)).otherwise(parsed)
-    return rows.groupBy(month.alias("month")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "orders").groupBy(labels.period(label)[0].alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT entity, metric, 'y' || year AS period, round(value, 6) AS value FROM yearly WHERE year BETWEEN 1995 AND 1998", YEARLY)
+@query(
+    """SELECT first, last, form, count(*) AS n FROM (SELECT date_trunc('month', o_orderdate)::DATE AS m, o_orderkey % 6 AS form FROM orders), LATERAL (SELECT m AS first,
+    (CASE form WHEN 2 THEN m + to_months(12 - month(m)::INT) WHEN 3 THEN m + to_months(14) ELSE m END)::DATE AS last) GROUP BY ALL"""
+)
+def period_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of period labels, one for each remainder of the order key, written and read back: first and last month."""
+    day, form = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    of = lambda d, p: F.date_format(d, p)
+    label = (
+        F.when(form == 0, of(day, "MMM yyyy")).when(form == 1, F.concat(F.lit("Average of "), of(day, "MMM-yy")))
+        .when(form == 2, F.concat(of(day, "MMM"), F.lit("-Dec "), of(day, "yyyy"))).when(form == 3, F.concat(of(day, "MMM yyyy"), F.lit(" - "), of(F.add_months(F.trunc(day, "MM"), 14), "MMM yyyy")))
+        .when(form == 4, F.concat(F.lit("1st "), of(day, "MMMM yyyy"))).otherwise(of(day, "MMMM yyyy"))
+    )
+    first, last = labels.period(label)
+    return table(spark, sf_dir, "orders").groupBy(first.alias("first"), last.alias("last"), form.alias("form")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT label, class, count(*) AS n FROM (SELECT lower(trim(regexp_replace(raw, '[ ]+', ' ', 'g'))) AS label FROM (
+    SELECT '  ' || n_name || ' ' AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'All  Nations' FROM region UNION ALL SELECT c_mktsegment FROM customer)), LATERAL (SELECT CASE WHEN label IN (SELECT lower(n_name) FROM nation) THEN 'STATE' WHEN label IN (SELECT lower(r_name) FROM region) THEN 'ZONE'
+    WHEN label = 'all nations' THEN 'NATIONAL' ELSE 'UNCLASSIFIED' END AS class) GROUP BY ALL"""
+)
+def label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row labels by class: state, zone, national, or unclassified, which is reported and not dropped. Labels are counted first, then resolved."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    raw = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("  "), "n_name", F.lit(" ")).alias("raw"))
+    raw = raw.union(placed.select("r_name")).union(region.select(F.lit("All  Nations"))).union(customer.select("c_mktsegment"))
+    counted = raw.groupBy(labels.normalise(F.col("raw")).alias("label")).agg(F.count("*").alias("n"))
+    known = nation.select(labels.normalise(F.col("n_name")).alias("label"), F.lit("STATE").alias("class")).union(region.select(labels.normalise(F.col("r_name")), F.lit("ZONE")))
+    known = known.union(spark.createDataFrame([("all nations", "NATIONAL")], "label string, class string"))
+    return counted.join(known, "label", "left").select("label", F.coalesce("class", F.lit("UNCLASSIFIED")).alias("class"), "n")
+
+
+@query(
+    """SELECT o_orderstatus AS status, prev, next, count(*) AS n FROM (SELECT o_orderstatus, lag(o_orderstatus) OVER w AS prev, lead(o_orderstatus) OVER w AS next FROM orders
+    WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE prev = next AND prev <> o_orderstatus GROUP BY ALL"""
+)
+def neighbour_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that differ from both neighbours in their sequence, which agree with each other."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.lag("o_orderstatus").over(w).alias("prev"), F.lead("o_orderstatus").over(w).alias("next"))
+    return rows.where("prev = next AND prev <> status").groupBy("status", "prev", "next").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT letters, (ascii(letters) - 64) AS column_index, row_number, count(*) AS n FROM (SELECT chr(64 + 1 + (p_size % 26)::INT) AS letters, (p_partkey % 40 + 1)::INT AS row_number FROM part) GROUP BY ALL"""
+)
+def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet references written from a column index and a row, and taken apart again."""
+    text = F.concat(labels.column_letter(F.col("p_size") % 26 + 1), (F.col("p_partkey") % 40 + 1).cast("string"))
+    letters, number = labels.cell_reference(text)
+    return table(spark, sf_dir, "part").groupBy(letters.alias("letters"), labels.column_index(letters).alias("column_index"), number.alias("row_number")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT entity, metric, 'y' || year AS period, round(value, 6) AS value FROM yearly", YEARLY)
 def unpivot_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet with a column a year, turned back into rows; empty cells give no row."""
-    years = [1995, 1996, 1997, 1998]
-    sheet = yearly(spark, sf_dir).groupBy("entity", "metric").pivot("year", years).agg(F.max("value"))
+    rows = yearly(spark, sf_dir)
+    years = sorted(r["year"] for r in rows.select("year").distinct().collect())  # the sheet's header: one cell a year
+    sheet = rows.groupBy("entity", "metric").pivot("year", years).agg(F.max("value"))
     sheet = sheet.select("entity", "metric", *[F.col(f"`{y}`").alias(f"y{y}") for y in years])
     return sheet.unpivot(["entity", "metric"], [f"y{y}" for y in years], "period", "value").where("value IS NOT NULL").withColumn("value", r6("value"))
 
@@ -117,11 +175,12 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT day FROM (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day) WHERE dayofweek(day) BETWEEN 1 AND 5
-    EXCEPT SELECT DISTINCT ts::DATE FROM events WHERE event_type = 'purchase' AND user_id % 997 = 0"""
+    """SELECT event_type, user_id, day FROM (SELECT DISTINCT event_type, user_id FROM events), (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day)
+    WHERE dayofweek(day) BETWEEN 1 AND 5 EXCEPT SELECT event_type, user_id, ts::DATE FROM events"""
 )
 def weekday_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekdays of the table's range on which a series has no row."""
-    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "user_id")
-    spine = rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day")).where(F.weekday("day") < 5)
-    return spine.join(rows.where("event_type = 'purchase' AND user_id % 997 = 0").select("day"), "day", "left_anti")
+    """Weekdays of the table's range on which a series, an event type of a user, has no row."""
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id", F.to_date("ts").alias("day")).distinct()
+    span = rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    spine = rows.select("event_type", "user_id").distinct().crossJoin(span).select("event_type", "user_id", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day")).where(F.weekday("day") < 5)
+    return spine.join(rows, ["event_type", "user_id", "day"], "left_anti")

@@ -51,9 +51,10 @@ def scan_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_text(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small CSV extract in one file, in a total order."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_text(df: DataFrame, path: str, order: list[str], one_file: bool = False) -> None:
+    """A CSV extract in a total order: sorted ranges, whose files follow each other by name; on request one file, for small extracts."""
+    rows = df.orderBy(*order)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

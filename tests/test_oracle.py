@@ -39,15 +39,4 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_all_queries_are_checked_or_known_to_be_inexpressible():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"permutation_test"}
-
-
-def test_permutation_does_not_depend_on_the_number_of_tasks(spark):
-    from ledgerline.plans.relations import permutation_test
-
-    a = permutation_test(spark, SF, draws=200).first()
-    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
-    try:
-        assert permutation_test(spark, SF, draws=200).first() == a
-    finally:
-        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == set()
