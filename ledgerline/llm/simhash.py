@@ -24,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, map_slices
@@ -151,10 +151,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Minima are taken by node and salt, then by node, and go back the same way to the links.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
-    near = (both if large else both.where("v < u")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    near = (both if large else both.where("v < u")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).repartition("u", "salt")
     parts = near.groupBy("u", "salt").agg(F.min("v").alias("m"))
-    least = parts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = near.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"])
+    least = parts.select("u", "salt", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))  # SALTS rows a node at most
+    met = near.join(least, ["u", "salt"])
     moved = met.where("v > u").select("m", "v") if large else met.select("m", "v").union(least.select("m", F.col("u").alias("v")))
     return moved.where("m <> v").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
