@@ -22,10 +22,9 @@ def duplicate_of(df: DataFrame, keys: list[str], signature: list[str], row_id: s
     twin = df.groupBy(*keys, *signature).agg(F.min(row_id).alias("__twin"))
     kept = twin.groupBy(*keys).agg(F.min("__twin").alias("__kept"))
     by = twin.select(*[F.col(c).alias(f"__{c}") for c in (*keys, *signature)], "__twin")
-    same = lambda cols: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols])
-    first = kept.select(*[F.col(c).alias(f"__{c}") for c in keys], "__kept")
-    marked = by.join(first, [f"__{c}" for c in keys])
-    out = df.join(marked, same([*keys, *signature]))
+    same = lambda cols, a, b: reduce(lambda x, y: x & y, [F.col(a + c).eqNullSafe(F.col(b + c)) for c in cols])
+    marked = by.join(kept.select(*[F.col(c).alias(f"__of_{c}") for c in keys], "__kept"), same(keys, "__", "__of_"))
+    out = df.join(marked, same([*keys, *signature], "", "__"))
     me = F.col(row_id)
     status = F.when(me == F.col("__kept"), "ACTIVE").when(me > F.col("__twin"), "EXACT_DUPLICATE").otherwise("CONFLICT")
     of = F.when(me == F.col("__kept"), None).when(me > F.col("__twin"), F.col("__twin")).otherwise(F.col("__kept"))
