@@ -159,15 +159,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("m <> v").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
 
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that are the larger end of several links, or the larger end of one and the smaller of another."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).union(edges.select("a", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller")).where("larger > 1 OR larger + smaller > 1").count()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in edges; root is the smallest node of its component."""
+    """(node, root) of every node in edges, which come as a < b; root is the smallest node of its component.
+
+    The rounds end when each component is a star around its smallest node, which one aggregate tells.
+    """
     edges = cut(edges, "simhash-links")
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or now[0] == 0:
-            break
-        state, edges = now, cut(_star(_star(edges, True), False), "simhash-star")
+    while _unsettled(edges):
+        edges = cut(_star(_star(edges, True), False), "simhash-star")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a"), F.col("a")).distinct())
 
 
