@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows that one call of a batch function sees; bounds the Python worker's memory besides the texts themselves.
 SLICE_ROWS = 256
+#: Slots of the filter that parts rows before texts move; bounds what it broadcasts to as many numbers.
+SLOTS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +95,16 @@ def map_slices(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str | T
     return map_batches(df, run, schema)
 
 
+def parted(rows: DataFrame, own: list[str], keys: DataFrame, theirs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may meet keys, rows that can't), by a hash of the columns own and theirs, so that only the former go on to a shuffled join.
+
+    At most SLOTS numbers are broadcast, however many keys there are; beyond, more rows may meet.
+    """
+    slot = lambda names: F.pmod(F.xxhash64(*names), F.lit(SLOTS)).alias("__slot")
+    taken, dealt = F.broadcast(keys.select(slot(theirs)).distinct()), rows.select("*", slot(own))
+    return dealt.join(taken, "__slot", "left_semi").drop("__slot"), dealt.join(taken, "__slot", "left_anti").drop("__slot")
+
+
 def remainder(key: Column, k: int) -> Column:
     """crc32 of the key written as text, mod k."""
     return F.crc32(key.cast("string").cast("binary")) % k

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, map_slices
+from ledgerline.llm.common import cut, map_slices, parted
 
 SEED = 42
 SHINGLE = 3
@@ -206,11 +206,13 @@ def version(text: Column) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, version of the text) are not in gone, which is written first, so that its size decides the join."""
+    """Rows of docs whose (doc_id, version of the text) are not in gone. Only texts that may be in gone are shuffled, at every size alike."""
     gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("v").alias("__v")).distinct(), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    left = rows.join(gone, (F.col("row.doc_id") == F.col("__id")) & (version(F.col("row.text")) == F.col("__v")), "left_anti")
-    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rows = rows.select("row", F.col("row.doc_id").alias("id"), version(F.col("row.text")).alias("v"))
+    likely, stay = parted(rows, ["id", "v"], gone, ["__id", "__v"])
+    checked = likely.join(gone.hint("merge"), (F.col("id") == F.col("__id")) & (F.col("v") == F.col("__v")), "left_anti")
+    return stay.union(checked).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE) -> DataFrame:
