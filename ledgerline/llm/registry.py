@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, language, licenses, line_chunks, pieces, quality, rules, simhash, token_counts, toxicity
+from ledgerline.llm import decontaminate, language, licenses, line_chunks, packing, pieces, quality, rules, simhash, token_counts, toxicity
 from ledgerline.llm.common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": lambda s, d: line_chunks.query(table(s, d, "documents")),
         "op9_quality_rules": lambda s, d: rules.cascade(table(s, d, "documents")),
         "op10_simhash": lambda s, d: simhash.query(table(s, d, "documents")),
+        "op11_packing": lambda s, d: packing.query(table(s, d, "documents")),
     }
 
 
