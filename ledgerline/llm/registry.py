@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, language, licenses, line_chunks, packing, pieces, quality, rules, simhash, token_counts, toxicity, vector_codes
+from ledgerline.llm import decontaminate, dialogues, language, licenses, line_chunks, packing, pieces, quality, rules, simhash, token_counts, toxicity, vector_codes
 from ledgerline.llm.common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": lambda s, d: rules.cascade(table(s, d, "documents")),
         "op10_simhash": lambda s, d: simhash.query(table(s, d, "documents")),
         "op11_packing": lambda s, d: packing.query(table(s, d, "documents")),
+        "op12_dialogue_repair": lambda s, d: dialogues.query(table(s, d, "conversations")),
         "op13_vector_codes": lambda s, d: vector_codes.query(table(s, d, "embeddings")),
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": licenses.oracle(),
         "op8_line_dedup": line_chunks.ORACLE,
         "op9_quality_rules": rules.ORACLE,
+        "op12_dialogue_repair": dialogues.ORACLE,
         "op13_vector_codes": vector_codes.oracle(),
     }
