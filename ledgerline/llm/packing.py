@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ TOKENIZER_PATH = "file:///opt/tokenizers/word_bpe_49k.json"
 #: Id that ends a document, and tokens of a sequence.
 END, CAPACITY = 1, 4096
 #: Pieces of a leaf, nodes that a parent merges, bins that a node sends up, and the share of a bin that counts as full.
-LEAF, FAN, KEEP, SPARE = 4096, 64, 512, 128
+LEAF, FAN, KEEP, SPARE = 8192, 64, 512, 128
 #: Words that a worker remembers, and bytes up to which it does; bytes that are split into words at once.
 WORDS, WORD_BYTES, STRETCH = 400_000, 48, 1 << 20
 #: Tokens after which a batch is handed on.
@@ -40,20 +39,20 @@ _SPACE = re.compile(rb"[ \t-\r]")
 
 
 class _Words(dict):
-    """Ids of runs of bytes without white space, which no token spans."""
+    """Ids, as bytes, of runs of bytes without white space, which no token spans."""
 
     def __init__(self, tokenizer) -> None:  # noqa: ANN001
         super().__init__()
         self.tokenizer = tokenizer
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(b",.;:!?")
         if stem != word and stem[-1:].isalpha():  # a letter before a mark ends a token
             ids = self[stem] + self[word[len(stem) :]]
         elif word.isascii() and word != word.lower() and b"<|" not in word:
             ids = self[word.lower()]
         else:
-            ids = tuple(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= WORD_BYTES:
             self[word] = ids
         return ids
@@ -78,9 +77,9 @@ def token_ids(model: bytes, text: str | None) -> np.ndarray:
     while at < len(raw):
         space = _SPACE.search(raw, at + STRETCH)
         end = space.start() if space else len(raw)
-        found.append(np.fromiter(chain.from_iterable(map(words.__getitem__, raw[at:end].split())), dtype="<u4"))
+        found.append(b"".join(map(words.__getitem__, raw[at:end].split())))
         at = end
-    return np.concatenate(found) if found else np.zeros(0, dtype="<u4")
+    return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 def pieces(docs: DataFrame, path: str = TOKENIZER_PATH, capacity: int = CAPACITY) -> DataFrame:
