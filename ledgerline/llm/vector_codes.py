@@ -4,7 +4,7 @@ Codebooks are refined by rounds of assignment and means. In each, a part's neare
 bounds from segment means: if a part x and an entry c are cut into the same segments, of s numbers with means m and
 residual norms r, then sum(s (m_x - m_c)^2 + (r_x - r_c)^2) over the segments is at most |x - c|^2. One segment
 comes first, then finer ones for the pairs that are left; a pair goes once its bound, less a margin for rounding,
-is over the exact distance to the entry of least bound. The pairs that no level excludes get exact integer
+is over the least exact distance known, which each level takes from the entry of its least bound. The pairs that no level excludes get exact integer
 distances, and the smallest decides, the lower index on a tie.
 
 A round is one pass over the vectors: a task adds its parts up by entry, so no more than PARTS x ENTRIES sums leave
@@ -64,16 +64,19 @@ def nearest(rows: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarr
         own = [segment_sketch(x, s) for s in LEVELS]
         slack = MARGIN * ((own[0] ** 2).sum(axis=1) + (theirs[0] ** 2).sum(axis=1).max())  # sums of squares don't depend on the level
         bound = (own[0] ** 2).sum(axis=1)[:, None] + (theirs[0] ** 2).sum(axis=1)[None, :] - 2 * own[0] @ theirs[0].T
-        guess = np.argmin(bound, axis=1)
-        limit = _exact(x, entries[guess]).astype(np.float64) + slack
+        limit = _exact(x, entries[np.argmin(bound, axis=1)]).astype(np.float64) + slack
         i, j = np.nonzero(bound <= limit[:, None])
         for mine, other in zip(own[1:], theirs[1:], strict=True):
-            left = ((mine[i] - other[j]) ** 2).sum(axis=1) <= limit[i]
-            i, j = i[left], j[left]
+            of = ((mine[i] - other[j]) ** 2).sum(axis=1)
+            start = np.searchsorted(i, np.arange(len(x)))  # pairs come row by row, and a row's nearest entry always stays
+            likely = np.maximum.reduceat(np.where(of == np.minimum.reduceat(of, start)[i], j, -1), start)
+            limit = np.minimum(limit, _exact(x, entries[likely]) + slack)
+            left = of <= limit[i]
+            i, j, spent = i[left], j[left], spent + len(x)
         found = np.empty(len(i), rows.dtype)
         for part in range(0, len(i), 1 << 16):
             found[part : part + (1 << 16)] = _exact(x[i[part : part + (1 << 16)]], entries[j[part : part + (1 << 16)]])
-        first = np.searchsorted(i, np.arange(len(x)))  # pairs come row by row; the guess itself always stays
+        first = np.searchsorted(i, np.arange(len(x)))
         least = np.minimum.reduceat(found, first)
         places = np.where(found == least[i], j, k)
         best[at : at + BLOCK], error[at : at + BLOCK] = np.minimum.reduceat(places, first), least
