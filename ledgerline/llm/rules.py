@@ -8,7 +8,6 @@ rejects", does not depend on the order.
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable
 from functools import cached_property
@@ -25,7 +24,6 @@ from ledgerline.llm.common import map_slices, sample_texts
 SAMPLE_ROWS = 512
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 class Facts:
@@ -77,7 +75,8 @@ class Facts:
 
     @cached_property
     def n_letter_words(self) -> int:
-        return sum(1 for w in self.text.split() if LETTER.search(w))
+        """Words with a letter (Unicode category L)."""
+        return sum(1 for w in self.words if w.isalpha() or any(map(str.isalpha, w.decode("utf-8", "surrogatepass"))))
 
     @cached_property
     def n_shouted(self) -> int:

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ BLOCK_IDS, LEVEL = 1 << 19, 1024
 # Fixed value: the pre-tokenising pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space that is encoded by itself.
+LONG_BLANK = regex.compile(r"\p{White_Space}{5000,}")
+
 
 @lru_cache(maxsize=1)
 def _encoding(ranks: bytes):  # noqa: ANN202
@@ -40,8 +44,18 @@ def _encoding(ranks: bytes):  # noqa: ANN202
 
 
 def token_ids(ranks: bytes, text: str | None) -> np.ndarray:
-    """Ids of a text; strings of special tokens are ordinary text. Null and empty texts have none."""
-    return np.array(_encoding(ranks).encode_ordinary(text) if text else [], dtype="<u2")
+    """Ids of a text; strings of special tokens are ordinary text. Null and empty texts have none.
+
+    The pattern takes a run of white space but for its last character as one piece. Long runs are encoded as
+    such pieces, since the tokenizer's own search for them fails on a million characters.
+    """
+    encoding, found, at = _encoding(ranks), [], 0
+    for run in LONG_BLANK.finditer(text or ""):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        found += [encoding.encode_ordinary(text[at : run.start()]), encoding._encode_single_piece(text[run.start() : end])]
+        at = end
+    found.append(encoding.encode_ordinary(text[at:]) if text else [])
+    return np.concatenate([np.array(f, dtype="<u2") for f in found])
 
 
 def write_flat(docs: DataFrame, path: str = RANKS_PATH, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
