@@ -3,10 +3,11 @@
 Words are simhash's. A text's signature is BANDS x ROWS minima of its shingles' 64-bit hashes under
 multiply-add permutations; the texts that agree in all rows of a band share a bucket. A pair of
 similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8. Keys are
-64-bit hashes of doc_id and text, so that buckets are grouped as longs. Each bucket has an order of its
-own, under which the first key and the last are paired with every other: pairs grow with the rows and not
-with the square of a group, and the texts of a group, which share many buckets, are first or last in one
-or another. Each proposed pair is compared by the exact similarity of its shingle sets.
+64-bit hashes of texts, so exact copies are one node. In each bucket the text with most company is compared
+with the others, by the exact similarity of shingle sets; what is similar is then one component. After that, all
+texts of a bucket that are in different components are compared. So pairs grow with the rows where a bucket's
+texts belong together, no pair of a bucket that could join two components is left out, and sizes of shingle
+sets exclude pairs before texts move.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, map_slices, parted
@@ -26,8 +27,10 @@ SEED = 42
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-#: Tasks that share the pairs of one text.
-SALTS = 64
+#: Tasks that share the pairs of one text, or the texts of a bucket of over BIG; tasks that share the members of a group.
+SALTS, BIG, MEMBER_SALTS = 64, 4096, 16
+#: Texts of a bucket that one task pairs with as many.
+TILE = 512
 #: Shingles that are permuted at once.
 STEP = 2048
 
@@ -51,69 +54,125 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def buckets(text: str | None) -> list[int]:
-    """A bucket for each band; none without words."""
+def buckets(text: str | None) -> tuple[int, list[int]]:
+    """The number of shingles, and a bucket for each band; none without words."""
     own = shingles(text)
     if not len(own):
-        return []
+        return 0, []
     least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(own), STEP):
         np.minimum(least, (own[None, at : at + STEP] * FACTORS[:, None] + TERMS[:, None]).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    return len(own), [xxhash.xxh64_intdigest(band.tobytes(), seed=i) - 2**63 for i, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _worded(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, v, text, k): the version of the text, and a hash of both as the key."""
-    return docs.select("doc_id", version(F.col("text")).alias("v"), "text").withColumn("k", F.xxhash64("doc_id", "v"))
+    """(text, k) of the rows with a word; the key is a hash of the text, so exact copies are one node."""
+    return _worded(docs).select("text", F.xxhash64(version(F.col("text"))).alias("k"))
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(a, b), a < b: the keys of a bucket's first or last text and of each other one in it."""
+def _at_buckets(docs: DataFrame) -> DataFrame:
+    """(k, bucket, size) of every text, once; size is the number of its shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [buckets(t) for t in batch.column(1).to_pylist()]
-        rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([b for f in found for b in f], pa.int64())], names=["k", "bucket"])
+        found = [buckets(t) for t in batch.column(0).to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(f[1]) for f in found]))
+        sizes = pa.array([n for n, f in found for _ in f], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(1).take(rows), pa.array([b for _, f in found for b in f], pa.int64()), sizes], names=["k", "bucket", "size"])
 
-    rows = cut(map_slices(_keyed(docs).select("k", "text"), run, "k long, bucket long"), "minhash-buckets")
-    own = F.xxhash64("bucket")
-    ends = rows.withColumn("o", F.col("k").bitwiseXOR(own)).groupBy("bucket").agg(F.min("o").alias("least"), F.max("o").alias("top")).where("least < top")
-    heads = cut(ends.select("bucket", F.explode(F.array("least", "top")).alias("o")).select("bucket", F.col("o").bitwiseXOR(own).alias("head")), "minhash-heads")
-    met = rows.join(heads.hint("merge"), "bucket").where("head <> k")
-    return met.select(F.least("head", "k").alias("a"), F.greatest("head", "k").alias("b")).distinct()
+    rows = map_slices(_keyed(docs), run, "k long, bucket long, size long").groupBy("bucket", "k").agg(F.first("size").alias("size"))
+    rows = cut(rows, "minhash-buckets")
+    return cut(_at(rows, rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")), "minhash-shared")
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b, as structs of doc_id and version: the proposed pairs whose texts are similar.
+def _at(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows joined with of, one row a bucket with its number n of rows; the rows of a bucket of over BIG are dealt over SALTS tasks."""
+    big = of.where(F.col("n") > BIG).select("bucket")
+    (hot, cold), (hot_of, cold_of) = parted(rows, ["bucket"], big, ["bucket"]), parted(of, ["bucket"], big, ["bucket"])
+    salted = hot_of.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = hot.withColumn("__salt", F.pmod(F.xxhash64("k"), F.lit(SALTS))).join(salted.hint("merge"), ["bucket", "__salt"]).drop("__salt")
+    return cold.join(cold_of.hint("merge"), "bucket").unionByName(dealt)
+
+
+def _ordered(one: str, other: str, *more: Column) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), *more]
+
+
+def _alike(one: str, other: str) -> Column:
+    """Sets of such sizes can have the similarity."""
+    return F.least(one, other) >= SIMILARITY * F.greatest(one, other) - 1e-6
+
+
+def head_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: each bucket's head and every other text in it. The head has most company in all of its buckets, as the original of many copies does."""
+    company = shared.groupBy("k").agg(F.sum("n").alias("company"))
+    ranked = shared.join(company.hint("merge"), "k").groupBy("bucket").agg(F.max(F.struct("company", "k", "size")).alias("top"), F.count("*").alias("n"))
+    met = _at(shared.drop("n"), ranked.select("bucket", "n", F.col("top.k").alias("head"), F.col("top.size").alias("its")))
+    return met.where((F.col("head") != F.col("k")) & _alike("size", "its")).select(*_ordered("head", "k")).distinct()
+
+
+def left_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: all texts of a bucket that are in different components so far; none where a bucket is in one component.
+
+    A bucket's texts are dealt over tiles of TILE, and each pair of tiles is a group of its own.
+    """
+    of = roots.select(F.col("node").alias("k"), "root")
+    marked = cut(shared.join(of.hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k")), "minhash-marked")
+    mixed = marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket", "n")
+    rows = _at(marked.drop("n"), mixed).withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")))
+    mine = lambda x, y, end: rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("__o"), "tile", F.col("k").alias(end), F.col("size").alias(f"size_{end}"), F.col("root").alias(f"root_{end}")).select("bucket", F.col(x).alias("__x"), F.col(y).alias("__y"), end, f"size_{end}", f"root_{end}")
+    both = mine("tile", "__o", "p").join(mine("__o", "tile", "q").hint("merge"), ["bucket", "__x", "__y"])
+    return both.where((F.col("p") < F.col("q")) & (F.col("root_p") != F.col("root_q")) & _alike("size_p", "size_q")).select(*_ordered("p", "q")).distinct()
+
+
+def similar(docs: DataFrame, proposed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The (a, b) proposed whose texts are similar.
 
     Texts meet in shuffled joins at every size; those that no pair needs don't move. The pairs of one text
     are dealt over SALTS tasks, and the text goes to those that have any.
     """
     salt = lambda other: F.pmod(F.xxhash64(other), F.lit(SALTS))
-    found = cut(pairs(docs).select("a", "b", salt("b").alias("at_a"), salt("a").alias("at_b")), "minhash-pairs")
+    found = cut(proposed.select("a", "b", salt("b").alias("at_a"), salt("a").alias("at_b")), "minhash-pairs")
     needed = cut(found.select(F.col("a").alias("k")).union(found.select("b")).distinct(), "minhash-keys")
     likely, _ = parted(_keyed(docs), ["k"], needed, ["k"])
-    texts = cut(likely.join(needed.hint("merge"), "k").dropDuplicates(["k", "doc_id", "v"]).select("k", F.struct("doc_id", "v").alias("key"), "text"), "minhash-texts")
-    ends = lambda end, key, text: found.select(end, f"at_{end}").distinct().join(
-        texts.select(F.col("k").alias(end), F.col("key").alias(key), F.col("text").alias(text)).hint("merge"), end).hint("merge")
-    both = found.join(ends("a", "p", "x"), ["a", "at_a"]).join(ends("b", "q", "y"), ["b", "at_b"])
-    both = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "x", "y")
-    schema = both.select("a", "b").schema
+    texts = cut(likely.join(needed.hint("merge"), "k").dropDuplicates(["k"]), "minhash-texts")
+    ends = lambda end, text: found.select(end, f"at_{end}").distinct().join(texts.select(F.col("k").alias(end), F.col("text").alias(text)).hint("merge"), end).hint("merge")
+    both = found.join(ends("a", "x"), ["a", "at_a"]).join(ends("b", "y"), ["b", "at_b"]).select("a", "b", "x", "y")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         near = [jaccard(shingles(x), shingles(y)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return map_slices(both, run, schema).distinct()
+    return map_slices(both, run, "a long, b long")
+
+
+def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b, keys of texts: links by which all texts of a bucket that are similar are in one component.
+
+    First each bucket's head is compared with the others. Then all pairs of a bucket that are still in different
+    components are, so no pair in a common bucket is left out; pairs inside a component are not needed.
+    """
+    shared = _at_buckets(docs)
+    first = cut(similar(docs, head_pairs(shared), similarity), "minhash-links")
+    return first.union(similar(docs, left_pairs(shared, cut(components(first), "minhash-roots")), similarity))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of docs without the later texts of each group of linked ones: the smallest by (doc_id, md5 of the text) stays.
 
-    Defined results: null doc_ids, and null and wordless texts, take no part and stay; repeated rows
-    stay or go together; of several texts under one doc_id each goes only with its own group; groups are
-    the links' components.
+    Defined results: null doc_ids, and null and wordless texts, take no part and stay; exact copies are linked;
+    repeated rows stay or go together; of several texts under one doc_id each goes only with its own group; groups
+    are the links' components.
     """
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    gone = components(links(named, similarity)).where("node <> root")
-    return without(docs, gone.select("node.doc_id", "node.v"))
+    roots = cut(components(links(named, similarity)), "minhash-roots")
+    rows = _worded(named).select("doc_id", version(F.col("text")).alias("v")).withColumn("k", F.xxhash64("v"))
+    rows = rows.join(roots.hint("merge"), F.col("k") == F.col("node"), "left").select("doc_id", "v", F.coalesce("root", "k").alias("root"))
+    rows = cut(rows, "minhash-members")
+    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "v")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    salted = best.select("root", "best", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_SALTS - 1))).alias("s"))
+    met = rows.withColumn("s", F.pmod(F.xxhash64("doc_id", "v"), F.lit(MEMBER_SALTS))).join(salted.hint("merge"), ["root", "s"])
+    return without(docs, met.where("doc_id <> best.doc_id OR v <> best.v").select("doc_id", "v"))

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
 from ledgerline.llm import minhash
 
@@ -35,7 +37,7 @@ def test_jaccard_of_hashes_is_that_of_shingles():
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(40)]
     for x, y in combinations(texts, 2):
         assert minhash.jaccard(minhash.shingles(x), minhash.shingles(y)) == jaccard_by_hand(x, y) or min(len(x.split()), len(y.split())) < 5
-    assert minhash.buckets("") == minhash.buckets(" \n") == minhash.buckets(None) == []
+    assert minhash.buckets("") == minhash.buckets(" \n") == minhash.buckets(None) == (0, [])
 
 
 def test_large_groups_and_missing_values(spark):
@@ -43,7 +45,10 @@ def test_large_groups_and_missing_values(spark):
     base = [str(rng.random()) for _ in range(200)]
     rows = [(d, " ".join([*base[:50], str(rng.random()), *base[51:]])) for d in range(100)] + [(500, None), (501, ""), (502, " "), (None, " ".join(base)), (503, "two words"), (504, "two words")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert minhash.pairs(docs.where("doc_id IS NOT NULL AND text IS NOT NULL")).count() <= 2 * 20 * 100  # two pairs for each bucket of a text at most, not all 4950
+    shared = minhash._at_buckets(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
+    heads = minhash.head_pairs(shared)
+    assert 99 <= heads.count() <= 20 * 100  # a pair for each bucket of a text at most, not all 4950
+    assert minhash.left_pairs(shared, minhash.components(heads)).count() == 0  # they are in one component
     assert sorted(map(str, (r[0] for r in minhash.keep_one(docs).collect()))) == sorted(["0", "500", "501", "502", "503", "None"])
 
 
@@ -70,6 +75,49 @@ def test_a_text_with_very_many_pairs_is_dealt_over_tasks(spark):
     base = [str(rng.random()) for _ in range(100)]
     docs = spark.createDataFrame([(d, " ".join([*base[:50], str(d), *base[51:]])) for d in range(300)] + [(0, " ".join([*base[:50], "0", *base[51:]]))], "doc_id bigint, text string")
     found = minhash.links(docs)
-    assert found.count() == found.distinct().count() <= 2 * 20 * 300
-    assert {r[0] for r in found.select("a.doc_id").union(found.select("b.doc_id")).collect()} == set(range(300))
+    assert found.count() == found.distinct().count() <= 20 * 300
+    assert len({r[0] for r in found.select("a").union(found.select("b")).collect()}) == 300
     assert [r[0] for r in minhash.keep_one(docs).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [10, 50, 200, 400])
+def test_one_of_many_copies_that_only_the_original_is_near_to_stays(spark, n):
+    """Copies have a Jaccard of 0.815 with the original, and less than 0.8 with each other."""
+    rng = random.Random(n)
+    base = [str(rng.random()) for _ in range(200)]
+    rows = [(n + 5, " ".join(base))]
+    for d in range(n):
+        copy = list(base)
+        for at in rng.sample(range(4, 196, 8), 4):
+            copy[at] = str(rng.random())
+        rows.append((d, " ".join(copy)))
+    assert all(0.8 <= jaccard_by_hand(rows[0][1], t) < 0.83 for _, t in rows[1:])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert [r[0] for r in minhash.keep_one(docs).collect()] == [0]
+
+
+def test_no_pair_of_a_bucket_that_joins_components_is_left_out(spark, monkeypatch):
+    """Chains, stars and strangers of one vocabulary: classes are those of all pairs that share a bucket, whatever the tiles and salts."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(12):
+        words = [str(rng.random()) for _ in range(80)]
+        for i in range(25):
+            rows.append((100 * g + i, " ".join(words)))
+            words = list(words if i % 3 else [*words[:40], *(str(rng.random()) for _ in range(40))])
+            words[rng.randrange(80)] = str(rng.random())
+    monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "BIG", 6)
+    sets, at = [set(minhash.shingles(t).tolist()) for _, t in rows], [set(minhash.buckets(t)[1]) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if at[i] & at[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(r[0] for r in minhash.keep_one(docs).collect()) == [rows[i][0] for i in range(len(rows)) if parent[i] == i]
