@@ -14,6 +14,7 @@ all moves of eight levels above it, and emits the rest. No task holds more than
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,11 @@ WORDS, WORD_BYTES, STRETCH = 400_000, 48, 1 << 20
 #: Tokens after which a batch is handed on.
 BATCH_TOKENS = 1 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
+#: The last letter up to which a lower-case letter is composed and has no other form.
+LATIN = "\u017f"
+#: The vocabulary's letters for bytes that don't print: the n-th is character 256 + n.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
 
 
 class _Words(dict):
@@ -43,20 +49,28 @@ class _Words(dict):
 
     def __init__(self, tokenizer) -> None:  # noqa: ANN001
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(b",.;:!?")
-        if stem != word and stem[-1:].isalpha():  # a letter before a mark ends a token
-            ids = self[stem] + self[word[len(stem) :]]
-        elif word.isascii() and word != word.lower() and b"<|" not in word:
-            ids = self[word.lower()]
+        if word.isalpha() and word.islower():  # plain letters: nothing to normalise or split
+            ids = self._letters(word.decode())
         else:
-            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            text = word.decode("utf-8", "surrogatepass")
+            stem, low = text.rstrip(",.;:!?"), text.lower()
+            if stem != text and stem[-1:].isalpha():  # a letter before a mark ends a token
+                ids = self[stem.encode()] + self[text[len(stem) :].encode()]
+            elif low.isalpha() and max(low) <= LATIN:  # one run of composed letters
+                form = low.encode()
+                ids = self[form] if form != word else self._letters(form.decode("latin-1").translate(BYTE_LETTERS))
+            else:
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= WORD_BYTES:
             self[word] = ids
         return ids
 
+    def _letters(self, form: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+
 
 @lru_cache(maxsize=1)
 def _words(model: bytes) -> _Words:
@@ -72,6 +86,8 @@ def token_ids(model: bytes, text: str | None) -> np.ndarray:
     with the words seen before remembered, and a long text a stretch at a time.
     """
     words, raw, at, found = _words(model), (text or "").encode("utf-8", "surrogatepass"), 0, []
+    if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:  # no special token, no mark that composes with a letter
+        raw = raw.lower()
     if len(words) > WORDS:
         words.clear()
     while at < len(raw):
