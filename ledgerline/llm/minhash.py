@@ -7,7 +7,7 @@ similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996
 with the others, by the exact similarity of shingle sets; what is similar is then one component. After that, all
 texts of a bucket that are in different components are compared. So pairs grow with the rows where a bucket's
 texts belong together, no pair of a bucket that could join two components is left out, and sizes of shingle
-sets exclude pairs before texts move.
+sets, and sketches of the sets themselves, exclude pairs before texts move.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ FACTORS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(
 TERMS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 #: Tasks that share the pairs of one text, or the texts of a bucket of over BIG; tasks that share the members of a group.
 SALTS, BIG, MEMBER_SALTS = 64, 4096, 16
-#: Texts of a bucket that one task pairs with as many.
-TILE = 512
+#: Texts of a bucket that one task pairs with as many; hashes of a sketch, and what a sample of half as many may lack.
+TILE, SKETCH, MARGIN = 512, 512, 0.11
 #: Shingles that are permuted at once.
 STEP = 2048
 
@@ -114,18 +114,47 @@ def head_pairs(shared: DataFrame) -> DataFrame:
     return met.where((F.col("head") != F.col("k")) & _alike("size", "its")).select(*_ordered("head", "k")).distinct()
 
 
-def left_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: all texts of a bucket that are in different components so far; none where a bucket is in one component.
+def sketch(text: str | None) -> tuple[int, list[int]]:
+    """A level, and the shingles' hashes, 31 bits each, below 2^(31 - level): all of them where the level is 0, at most about SKETCH."""
+    own = np.unique(shingles(text) >> np.uint64(33)).astype(np.int64)
+    level = max(0, int(len(own) - 1).bit_length() - SKETCH.bit_length() + 1) if len(own) > SKETCH else 0
+    return level, own[own < 1 << (31 - level)].tolist()
 
-    A bucket's texts are dealt over tiles of TILE, and each pair of tiles is a group of its own.
+
+def _sketches(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(k, level, sketch) of the texts of some keys."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sketch(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int32()))], names=["k", "level", "sketch"])
+
+    likely, _ = parted(_keyed(docs), ["k"], needed, ["k"])
+    made = map_slices(likely.select("k", "text"), run, "k long, level int, sketch array<int>").groupBy("k").agg(F.first("level").alias("level"), F.first("sketch").alias("sketch"))
+    return made.join(needed.hint("merge"), "k")
+
+
+def left_pairs(docs: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts of a bucket that are in different components so far and whose sketches allow the similarity; none where a bucket is in one component.
+
+    A bucket's texts are dealt over tiles of TILE, and each pair of tiles is a group of its own. Sketches are
+    compared inside the join, so a pair that can't be similar is no row. A sketch of level 0 holds all shingles; one
+    of a higher level is a sample, and a pair has to be under the similarity by MARGIN to be left out.
     """
     of = roots.select(F.col("node").alias("k"), "root")
     marked = cut(shared.join(of.hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k")), "minhash-marked")
     mixed = marked.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket", "n")
-    rows = _at(marked.drop("n"), mixed).withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")))
-    mine = lambda x, y, end: rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("__o"), "tile", F.col("k").alias(end), F.col("size").alias(f"size_{end}"), F.col("root").alias(f"root_{end}")).select("bucket", F.col(x).alias("__x"), F.col(y).alias("__y"), end, f"size_{end}", f"root_{end}")
+    rows = cut(_at(marked.drop("n"), mixed), "minhash-mixed")
+    sketches = _sketches(docs, cut(rows.select("k").distinct(), "minhash-mixed-keys"))
+    rows = rows.join(sketches.hint("merge"), "k").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")))
+    rows = cut(rows, "minhash-tiles")
+    mine = lambda x, y, end: rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("__o"), "tile", *[F.col(c).alias(f"{c}_{end}") for c in ("k", "size", "root", "level", "sketch")]).select("bucket", F.col(x).alias("__x"), F.col(y).alias("__y"), *[f"{c}_{end}" for c in ("k", "size", "root", "level", "sketch")])
     both = mine("tile", "__o", "p").join(mine("__o", "tile", "q").hint("merge"), ["bucket", "__x", "__y"])
-    return both.where((F.col("p") < F.col("q")) & (F.col("root_p") != F.col("root_q")) & _alike("size_p", "size_q")).select(*_ordered("p", "q")).distinct()
+    top = F.greatest("level_p", "level_q")
+    below = lambda end: F.when(F.col(f"level_{end}") == top, F.col(f"sketch_{end}")).otherwise(F.filter(f"sketch_{end}", lambda h: h < F.pow(F.lit(2.0), 31 - top)))
+    common = F.size(F.array_intersect(below("p"), below("q")))
+    least = F.when(top == 0, SIMILARITY - 0.01).otherwise(SIMILARITY - MARGIN)
+    near = F.when((F.col("root_p") != F.col("root_q")) & _alike("size_p", "size_q"), common >= least * (F.size(below("p")) + F.size(below("q")) - common)).otherwise(False)
+    return both.where((F.col("k_p") < F.col("k_q")) & near).select(*_ordered("k_p", "k_q")).distinct()
 
 
 def similar(docs: DataFrame, proposed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -157,7 +186,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     shared = _at_buckets(docs)
     first = cut(similar(docs, head_pairs(shared), similarity), "minhash-links")
-    return first.union(similar(docs, left_pairs(shared, cut(components(first), "minhash-roots")), similarity))
+    return first.union(similar(docs, left_pairs(docs, shared, cut(components(first), "minhash-roots")), similarity))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

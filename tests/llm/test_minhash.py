@@ -48,7 +48,7 @@ def test_large_groups_and_missing_values(spark):
     shared = minhash._at_buckets(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
     heads = minhash.head_pairs(shared)
     assert 99 <= heads.count() <= 20 * 100  # a pair for each bucket of a text at most, not all 4950
-    assert minhash.left_pairs(shared, minhash.components(heads)).count() == 0  # they are in one component
+    assert minhash.left_pairs(docs, shared, minhash.components(heads)).count() == 0  # they are in one component
     assert sorted(map(str, (r[0] for r in minhash.keep_one(docs).collect()))) == sorted(["0", "500", "501", "502", "503", "None"])
 
 
@@ -121,3 +121,16 @@ def test_no_pair_of_a_bucket_that_joins_components_is_left_out(spark, monkeypatc
             parent[max(find(i), find(j))] = min(find(i), find(j))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(r[0] for r in minhash.keep_one(docs).collect()) == [rows[i][0] for i in range(len(rows)) if parent[i] == i]
+
+
+def test_sketches_of_long_texts_bound_their_similarity():
+    rng = random.Random(13)
+    base = [str(rng.random()) for _ in range(6000)]
+    copy = list(base)
+    for at in rng.sample(range(6000), 100):
+        copy[at] = str(rng.random())
+    (n, a), (m, b) = minhash.sketch(" ".join(base)), minhash.sketch(" ".join(copy))
+    assert n == m == 4 and 256 <= len(a) <= 512
+    low, high = len(set(a) & set(b)) / len(set(a) | set(b)), jaccard_by_hand(" ".join(base), " ".join(copy))
+    assert abs(low - high) < minhash.MARGIN
+    assert minhash.sketch("one two three four five six")[0] == 0 and len(minhash.sketch("one two three four five six")[1]) == 2
