@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import checks, combined, decisions, extracts, mart, publications, relations, statistics, texts  # noqa: F401  importing a module registers its queries
+from ledgerline.plans import checks, combined, decisions, extracts, loads, mart, publications, relations, series, statistics, texts  # noqa: F401  importing a module registers its queries
 from ledgerline.plans.stand_in import ORACLE, QUERIES, Query
 
+series.register_mart_counts()
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.constraints import text_survives
+
 
 def normalise(label: Column) -> Column:
     """Trimmed, runs of white space as one blank, lower case."""
@@ -100,3 +102,30 @@ def split_class(canonical: Column) -> tuple[Column, Column]:
 def segments(text: Column, mark: str) -> Column:
     """Texts between marks, without empty ones."""
     return F.filter(F.transform(F.split(text, mark), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def tariff_class(raw: Column) -> tuple[Column, Column]:
+    """Band and metering class of a published class label; both null where the label is outside the domain.
+
+    A label is a band, a dash of any kind and a class: 'a – MD 1', 'B -Non-MD', 'C - md2 special'; or the lifeline class,
+    which has no band of its own. Case, blanks and the hyphens inside a class don't count.
+    """
+    plain = F.upper(F.trim(F.regexp_replace(F.translate(raw, "–—", "--"), r"\s+", " ")))
+    band = F.regexp_extract(plain, r"^([A-E]) ?-", 1)
+    rest = F.regexp_replace(F.regexp_extract(plain, r"^[A-E] ?-(.*)$", 1), "[ -]", "")
+    known = F.when(rest == "NONMD", "NON_MD").when(rest.isin("MD1", "MD2"), rest).when(rest == "MD2SPECIAL", "MD2_SPECIAL")
+    lifeline = plain.rlike("^LIFE ?-? ?LINE")
+    return F.when(lifeline, "LIFELINE").when(known.isNotNull(), band), F.when(lifeline, "NON_MD").otherwise(known)
+
+
+def number_text(text: Column, kind: str) -> Column:
+    """The number of a cell's text, if the text is a plain number that the type gives back; null for truth values, words, blanks and longer numbers."""
+    return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$") & text_survives(text, kind), text.try_cast(kind))
+
+
+def known_columns(sheet: DataFrame, known: list[str], left_out: list[str]) -> DataFrame:
+    """The known columns of a sheet. Columns that are left out by name go; any other column, and a known one that lacks, is refused."""
+    unknown, lacking = sorted(set(sheet.columns) - {*known, *left_out}), sorted(set(known) - set(sheet.columns))
+    if unknown or lacking:
+        raise ValueError(f"unknown columns: {', '.join(unknown) or 'none'}; lacking: {', '.join(lacking) or 'none'}")
+    return sheet.select(*known)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.skew import dealt_join
+
 
 def duplicates(df: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
     """Keys that occur more than once, among the rows for which `where` holds, if given; nulls count as equal."""
@@ -15,20 +17,16 @@ def duplicates(df: DataFrame, keys: list[str], where: Column | None = None) -> D
 
 
 def duplicate_of(df: DataFrame, keys: list[str], signature: list[str], row_id: str) -> DataFrame:
-    """df with status and duplicate_of: the row with the smallest id of a key is ACTIVE; a row whose signature an earlier one of the key has is its EXACT_DUPLICATE; others CONFLICT with the ACTIVE one.
+    """df with status and duplicate_of. Rows of one key that agree in the signature: the one with the smallest id is ACTIVE, the others are its EXACT_DUPLICATE. If they disagree, all are DATE_CONFLICT and none is chosen.
 
-    Minima are aggregated and joined back, so a key with very many rows is no group in one task.
+    Facts of a key are aggregated and joined back; a key with very many rows is dealt over tasks.
     """
-    twin = df.groupBy(*keys, *signature).agg(F.min(row_id).alias("__twin"))
-    kept = twin.groupBy(*keys).agg(F.min("__twin").alias("__kept"))
-    by = twin.select(*[F.col(c).alias(f"__{c}") for c in (*keys, *signature)], "__twin")
-    same = lambda cols, a, b: reduce(lambda x, y: x & y, [F.col(a + c).eqNullSafe(F.col(b + c)) for c in cols])
-    marked = by.join(kept.select(*[F.col(c).alias(f"__of_{c}") for c in keys], "__kept"), same(keys, "__", "__of_"))
-    out = df.join(marked, same([*keys, *signature], "", "__"))
-    me = F.col(row_id)
-    status = F.when(me == F.col("__kept"), "ACTIVE").when(me > F.col("__twin"), "EXACT_DUPLICATE").otherwise("CONFLICT")
-    of = F.when(me == F.col("__kept"), None).when(me > F.col("__twin"), F.col("__twin")).otherwise(F.col("__kept"))
-    return out.select(*df.columns, status.alias("status"), of.alias("duplicate_of"))
+    twin = df.groupBy(*keys, *signature).agg(F.min(row_id).alias("__kept"), F.count("*").alias("__n"))
+    facts = twin.groupBy(*keys).agg(F.min("__kept").alias("__kept"), F.count("*").alias("__signatures"), F.sum("__n").alias("__n"))
+    out = dealt_join(df, facts, keys, "__n")
+    agree = F.col("__signatures") == 1
+    status = F.when(~agree, "DATE_CONFLICT").when(F.col(row_id) == F.col("__kept"), "ACTIVE").otherwise("EXACT_DUPLICATE")
+    return out.select(*df.columns, status.alias("status"), F.when(agree & (F.col(row_id) != F.col("__kept")), F.col("__kept")).alias("duplicate_of"))
 
 
 def offending(df: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,10 +106,14 @@ def numeric_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.count_if(text.try_cast("decimal(38,18)").cast("double") == F.col("o_totalprice")).alias("survive"))
 
 
-@query(f"SELECT table_name, 0::BIGINT AS missing FROM (VALUES {', '.join(repr((t,)).replace(',)', ')') for t in TABLES)}) v(table_name)")
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, 0 AS missing, count(*) AS n_rows, count(*) - count({cols.split(' ')[0]}) AS null_keys, count(DISTINCT {cols.split(' ')[0]}) AS keys FROM {t}" for t, cols in TABLES.items()))
 def schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered columns that each table lacks (a driver-side look at schemas, no scan)."""
-    return spark.createDataFrame([(t, len(missing_columns(table(spark, sf_dir, t), t))) for t in TABLES], "table_name string, missing long")
+    """Registered columns that each table lacks, its rows, and the nulls and distinct values of its first key."""
+    each = []
+    for name, columns in TABLES.items():
+        rows, key = table(spark, sf_dir, name), columns.split(" ")[0]
+        each.append(rows.agg(F.lit(name).alias("table_name"), F.lit(len(missing_columns(rows, name))).alias("missing"), F.count("*").alias("n_rows"), F.count_if(F.col(key).isNull()).alias("null_keys"), F.countDistinct(key).alias("keys")))
+    return reduce(DataFrame.unionByName, each)
 
 
 @query(

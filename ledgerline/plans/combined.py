@@ -149,13 +149,13 @@ EVENT_KEY = ["user_id", "event_type", "month"]
 
 
 @query(
-    """SELECT event_id, user_id, event_type, month, level, CASE WHEN event_id = kept THEN 'ACTIVE' WHEN event_id > twin THEN 'EXACT_DUPLICATE' ELSE 'CONFLICT' END AS status,
-    CASE WHEN event_id = kept THEN NULL WHEN event_id > twin THEN twin ELSE kept END AS duplicate_of FROM
-    (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type, month) AS kept, min(event_id) OVER (PARTITION BY user_id, event_type, month, level) AS twin FROM
-    (SELECT event_id, user_id, event_type, date_trunc('month', ts)::DATE AS month, floor(value / 50)::BIGINT AS level FROM events))"""
+    """WITH e AS (SELECT event_id, user_id, event_type, date_trunc('month', ts)::DATE AS month, floor(value / 50)::BIGINT AS level FROM events),
+    k AS (SELECT user_id, event_type, month, count(DISTINCT coalesce(level, -1)) AS levels, min(event_id) AS kept FROM e GROUP BY ALL)
+    SELECT e.*, CASE WHEN levels > 1 THEN 'DATE_CONFLICT' WHEN event_id = kept THEN 'ACTIVE' ELSE 'EXACT_DUPLICATE' END AS status,
+    CASE WHEN levels = 1 AND event_id <> kept THEN kept END AS duplicate_of FROM e JOIN k USING (user_id, event_type, month)"""
 )
 def duplicate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event with its status: the first of its key is ACTIVE, a later one with the level of an earlier one is its EXACT_DUPLICATE, others CONFLICT with the first."""
+    """Every event with its status: of those with one key, the first is ACTIVE and the others repeat it if all agree in the level; if not, all are in conflict."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.trunc("ts", "MM").alias("month"), F.floor(F.col("value") / 50).alias("level"))
     return constraints.duplicate_of(rows, EVENT_KEY, ["level"], "event_id")
 

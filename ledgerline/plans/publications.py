@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators import coverage
 from ledgerline.operators import publication as pub
 from ledgerline.plans.stand_in import LATEST, MONTHLY, PUBLISHED, monthly, placed_orders, published, query, r6
 from ledgerline.sources.tables import table
 
 
+def month_index() -> Column:
+    """A month's whole number."""
+    return 12 * F.year("month") + F.month("month") - 1
+
+
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publications that don't precede what they observe."""
     return published(spark, sf_dir).where("rel >= obs")
@@ -121,7 +127,12 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     MONTHLY,
 )
 def named_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pub.gaps(monthly(spark, sf_dir), ["entity", "metric"], "month")
+    """Months that a series lacks, from its bitmap of months."""
+    rows = monthly(spark, sf_dir).select("entity", "metric", month_index().alias("i"))
+    span = rows.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    gaps = coverage.missing(coverage.bitmaps(rows, ["entity", "metric"], F.col("i")).crossJoin(span), F.col("lo"), F.col("hi"))
+    at = F.col("index").cast("int")
+    return gaps.select("entity", "metric", F.make_date(F.floor(at / 12).cast("int"), at % 12 + 1, F.lit(1)).alias("month"))
 
 
 @query(
@@ -130,8 +141,12 @@ def named_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     MONTHLY,
 )
 def completeness_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = monthly(spark, sf_dir).groupBy("metric").agg(F.count("*").alias("n_rows"), F.countDistinct("entity").alias("entities"), F.countDistinct("month").alias("months"))
-    return counts.withColumn("expected", F.col("entities") * F.col("months")).withColumn("missing", F.col("expected") - F.col("n_rows"))
+    """Rows, entities and months of each metric against the full grid, counted in the bitmaps of its series."""
+    series = coverage.bitmaps(monthly(spark, sf_dir).select("entity", "metric", month_index().alias("i")), ["entity", "metric"], F.col("i"))
+    rows = series.groupBy("metric").agg(F.sum(coverage.present(F.col("words"))).alias("n_rows"), F.count("*").alias("entities"))
+    words = series.select("metric", F.explode("words").alias("word", "bits")).groupBy("metric", "word").agg(F.bit_or("bits").alias("bits"))
+    counts = rows.join(words.groupBy("metric").agg(F.sum(F.bit_count("bits")).alias("months")), "metric")
+    return counts.select("metric", "n_rows", "entities", "months").withColumn("expected", F.col("entities") * F.col("months")).withColumn("missing", F.col("expected") - F.col("n_rows"))
 
 
 @query(

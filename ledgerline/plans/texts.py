@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import labels
+from ledgerline.operators import coverage
 from ledgerline.plans.stand_in import YEARLY, query, r6, yearly
 from ledgerline.sources.tables import table
 
@@ -126,11 +127,11 @@ def neighbour_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT letters, (ascii(letters) - 64) AS column_index, row_number, count(*) AS n FROM (SELECT chr(64 + 1 + (p_size % 26)::INT) AS letters, (p_partkey % 40 + 1)::INT AS row_number FROM part) GROUP BY ALL"""
+    """SELECT CASE WHEN k <= 26 THEN chr(64 + k) ELSE chr(64 + (k - 1) // 26) || chr(65 + (k - 1) % 26) END AS letters, k AS column_index, row_number, count(*) AS n FROM (SELECT (p_size * 17 % 700 + 1)::INT AS k, (p_partkey % 40 + 1)::INT AS row_number FROM part) GROUP BY ALL"""
 )
 def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheet references written from a column index and a row, and taken apart again."""
-    text = F.concat(labels.column_letter(F.col("p_size") % 26 + 1), (F.col("p_partkey") % 40 + 1).cast("string"))
+    text = F.concat(labels.column_letter(F.col("p_size") * 17 % 700 + 1), (F.col("p_partkey") % 40 + 1).cast("string"))
     letters, number = labels.cell_reference(text)
     return table(spark, sf_dir, "part").groupBy(letters.alias("letters"), labels.column_index(letters).alias("column_index"), number.alias("row_number")).agg(F.count("*").alias("n"))
 
@@ -150,11 +151,13 @@ def unpivot_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT page_id, generate_subscripts(string_split(html, chr(10)), 1) AS i, unnest(string_split(html, chr(10))) AS line FROM pages)) WHERE block IS NOT NULL"""
 )
 def carry_forward_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last heading line above each line of a page, carried down."""
-    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n", -1)).alias("i", "line"))
-    head = F.when(F.col("line").like("<h%") | F.col("line").like("%<p%"), F.col("line"))
-    block = F.last(head, ignorenulls=True).over(Window.partitionBy("page_id").orderBy("i"))
-    return lines.withColumn("block", block).where("block IS NOT NULL").select("page_id", "line", "block")
+    """The last heading line above each line of a page, carried down: lines are cut at the headings inside the row, so none moves."""
+    lines = table(spark, sf_dir, "pages").select("page_id", F.split("html", "\n", -1).alias("lines"))
+    heading = lambda x: x.like("<h%") | x.like("%<p%")
+    heads = lines.withColumn("heads", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: heading(F.element_at("lines", i)))).where(F.size("heads") > 0)
+    ends = F.concat(F.slice("heads", 2, F.size("heads")), F.array(F.size("lines") + 1))
+    blocks = F.zip_with("heads", ends, lambda at, end: F.transform(F.slice("lines", at, end - at), lambda x: F.struct(x.alias("line"), F.element_at("lines", at).alias("block"))))
+    return heads.select("page_id", F.inline(F.flatten(blocks)))
 
 
 @query(
@@ -162,10 +165,11 @@ def carry_forward_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT page_id, generate_subscripts(string_split(html, chr(10)), 1) AS i, unnest(string_split(html, chr(10))) AS line FROM pages)) WHERE ended = 0 GROUP BY page_id"""
 )
 def block_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a block up to its first blank row."""
-    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("html", "\n", -1)).alias("i", "line"))
-    ended = F.max((F.trim("line") == "").cast("int")).over(Window.partitionBy("page_id").orderBy("i"))
-    return lines.withColumn("ended", ended).where("ended = 0").groupBy("page_id").agg(F.count("*").alias("kept"))
+    """Rows of a block up to its first blank row, found inside the row."""
+    lines = F.split("html", "\n", -1)
+    first = F.array_position(F.transform(lines, lambda x: F.trim(x) == ""), True)
+    kept = F.when(first > 0, first - 1).otherwise(F.size(lines)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", kept.alias("kept")).where("kept > 0")
 
 
 @query("SELECT event_type, (props->>'k')::INT AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -179,8 +183,9 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE dayofweek(day) BETWEEN 1 AND 5 EXCEPT SELECT event_type, user_id, ts::DATE FROM events"""
 )
 def weekday_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekdays of the table's range on which a series, an event type of a user, has no row."""
-    rows = table(spark, sf_dir, "events").select("event_type", "user_id", F.to_date("ts").alias("day")).distinct()
+    """Weekdays of the table's range on which a series, an event type of a user, has no row: each series is a bitmap of days."""
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id", F.unix_date(F.to_date("ts")).alias("day"))
     span = rows.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    spine = rows.select("event_type", "user_id").distinct().crossJoin(span).select("event_type", "user_id", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day")).where(F.weekday("day") < 5)
-    return spine.join(rows, ["event_type", "user_id", "day"], "left_anti")
+    covered = coverage.bitmaps(rows, ["event_type", "user_id"], F.col("day")).crossJoin(span)
+    gaps = coverage.missing(covered, F.col("lo"), F.col("hi"), lambda d: F.pmod(d + 3, F.lit(7)) < 5)  # day 0 was a Thursday
+    return gaps.select("event_type", "user_id", F.date_from_unix_date(F.col("index").cast("int")).alias("day"))
