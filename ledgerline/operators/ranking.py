@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.numbering import prefix_sums
+from ledgerline.operators.skew import dealt_join
+
 
 def average_rank(part: list[str], value: str, descending: bool = False) -> Column:
     """Rank 1..n in the partition; ties share the mean of their places."""
@@ -17,31 +20,28 @@ def share_rank(part: list[str], value: str) -> Column:
     return average_rank(part, value) / F.count("*").over(Window.partitionBy(*part))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """Exact interpolated quantiles of each group, one column a share, without a group in one task.
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bound: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles of each group, one column a share; null values are left out.
 
-    An approximate quantile, whose error in rank is at most rows / accuracy, brackets each quantile; rows
-    below a bracket are counted, and only those inside are ordered, as counts of distinct values. Null values are left out.
+    Where no group has over bound rows, one aggregate gives all shares. Rows of larger groups are counted by value
+    and the counts summed up in order over ranges, so no group is held in one task.
     """
-    rows = df.where(F.col(value).isNotNull())
-    near = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in shares.values() for d in (-2.5 / accuracy, 2.5 / accuracy)])
-    found = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(value, near, accuracy).alias("__near"), F.min(value).alias("__least"), F.max(value).alias("__most"))
-    small = F.col("__n") <= accuracy  # the bracket holds all
-    brackets = F.explode(F.array(*[F.struct(
-        F.lit(name).alias("name"), (F.lit(p) * (F.col("__n") - 1)).alias("at"),
-        F.when(small, F.col("__least")).otherwise(F.get("__near", F.lit(2 * i))).alias("lo"), F.when(small, F.col("__most")).otherwise(F.get("__near", F.lit(2 * i + 1))).alias("hi")) for i, (name, p) in enumerate(shares.items())]))
-    per = found.select(*[F.col(k).alias(f"__{k}") for k in keys], brackets.alias("__b"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    met = rows.select(*keys, F.col(value).alias("__v")).join(per, same).where("__v <= __b.hi")
-    held = F.when(F.col("__v") >= F.col("__b.lo"), F.col("__v"))  # null: below the bracket, counted only
-    counts = met.groupBy(*keys, F.col("__b.name").alias("__name"), F.col("__b.at").alias("__at"), held.alias("__v")).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy(F.col("__v").asc_nulls_first()))
-    placed = counts.withColumn("__upto", upto).where("__v IS NOT NULL")
-    first = lambda at: F.min(F.when(F.col("__upto") > at, F.col("__v")))
-    ends = placed.groupBy(*keys, "__name", "__at").agg(first(F.floor("__at")).alias("__a"), first(F.ceil("__at")).alias("__z"))
-    part = F.col("__at") - F.floor("__at")
-    one = ends.select(*keys, "__name", F.when(F.col("__a") == F.col("__z"), F.col("__a")).otherwise(F.col("__a") + part * (F.col("__z") - F.col("__a"))).alias("__q"))
-    return one.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__q"))).alias(name) for name in shares])
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    each = lambda part: part.groupBy(*keys).agg(F.percentile("__v", list(shares.values())).alias("__q")).select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(shares)])
+    if (sizes.agg(F.max("__n")).first()[0] or 0) <= bound:
+        return each(rows)
+    met = dealt_join(rows, sizes, keys, "__n")
+    counts = met.where(F.col("__n") > bound).groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    sums = prefix_sums(counts, [*keys, "__v"], "__c", "__before")
+    first = sums.groupBy(*keys).agg(F.min("__before").alias("__first"), F.sum("__c").alias("__all"), F.count("*").alias("__n"))
+    placed = dealt_join(sums, first, keys, "__n").withColumn("__at", F.col("__before") - F.col("__first"))
+    held = lambda i: F.max(F.when((F.col("__at") <= i) & (i < F.col("__at") + F.col("__c")), F.col("__v")))
+    ends = {n: p * (F.col("__all") - 1) for n, p in shares.items()}
+    found = placed.groupBy(*keys).agg(F.max("__all").alias("__all"), *[held(f(at)).alias(f"__{f.__name__}_{n}") for n, at in ends.items() for f in (F.floor, F.ceil)])
+    low, high = (lambda n: F.col(f"__floor_{n}")), (lambda n: F.col(f"__ceil_{n}"))
+    large = found.select(*keys, *[F.when(low(n) == high(n), low(n)).otherwise(low(n) + (at - F.floor(at)) * (high(n) - low(n))).alias(n) for n, at in ends.items()])
+    return each(met.where(F.col("__n") <= bound)).unionByName(large)
 
 
 def longest_run(df: DataFrame, series: list[str], order: str, flag: Column) -> DataFrame:
