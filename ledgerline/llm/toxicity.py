@@ -1,15 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer turns the words of a clause into classes (insult, threat, target, negation, report)
-with weights. Three small transducers read the classes: one tracks a target in reach, one the scope of a
-negation, one reported speech. They are composed into one deterministic machine, and a second one, of
-target and report, reads its output from right to left, so that a target or a report may also follow.
-What comes out for an insult or threat is a pattern: addressed, threat, softened (negated or reported),
-or none. Each matched clause adds its patterns' weights to the document.
-
-An insult that no pattern holds counts only as recurring invective, with another one in the document; one
-alone is a feature of its own, whose weight starts at zero and is learned. A logistic layer turns the
-sums into a probability.
+A lexical transducer turns words into classes (insult, threat, target, negation, report, link) with weights. Small
+transducers read the classes of a clause: one tracks a target in reach, one the scope of a negation, one reported
+speech. They are composed into one deterministic machine, and a second one, of target and report, reads its
+output from right to left, so that a target or a report may also follow. Two more read the whole text with its breaks
+between clauses: they find insults that a copula or an indefinite article predicates ("is a moron", "what a clown"),
+that make up a short clause ("idiot", "away idiot"), and that are heaped, with another insult in
+the same clause or one near by. What comes out for an insult or threat is a pattern: addressed, threat, softened
+(negated or reported), named (predicated, in a short clause, or heaped), or none. Each matched clause adds its patterns'
+weights to the document; an insult that no pattern holds adds nothing. A logistic layer turns the sums into a
+probability.
 
 Learned, from a bounded sample of labelled rows: further insult words and stems (a word beginning) by
 log-odds, and the logistic layer.
@@ -18,6 +18,7 @@ log-odds, and the logistic layer.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +40,7 @@ INSULTS = "idiot idiots moron morons stupid trash scum loser losers pathetic wor
 THREATS = "kill murder destroy hurt hang shoot stab burn beat strangle exterminate".split()
 TARGETS = "you your yours u ur he she they them him her his their this those these du dich dein ihr euch tu te vous ton vos usted ustedes".split()
 NEGATIONS = "not no never isn aren wasn don doesn nicht kein keine nie pas jamais ne nunca ni".split()
+LINKS = "is are was were be been am a an what such ist sind war bist ein eine est sont un une una eres son".split()
 REPORTS = "said says say claimed claims called calls wrote reported quoted quote allegedly sagte sagt disait dit dijo dice".split()
 
 SEED_WEIGHT, THREAT_WEIGHT = 3.0, 2.0
@@ -98,14 +100,45 @@ def compose(first: Machine, second: Machine, symbols: list[str]) -> Machine:
     return Machine(start, arcs, {f"{a}/{b}": f"{a}/{b}" for a, b in seen})
 
 
-CLASSES = ["other", "insult", "threat", "target", "negation", "report"]
+CLASSES = ["other", "insult", "threat", "target", "negation", "report", "link"]
 MARKED = [*CLASSES, *(kind + sign for kind in ("insult", "threat") for sign in SIGNS[1:])]
-#: The pattern of an output; a threat without a target is none, and an insult without one is lone.
+#: What stands between clauses, an insult that a pattern of the whole text holds, and one whose clause is short up to it.
+BREAK, HELD, SHORT_SO_FAR = "break", "insult^", "insult?"
+BAD = ("insult", HELD, SHORT_SO_FAR)
+#: The pattern of an output; a threat without a target is none, and an insult without one may be named.
 PATTERNS = {"insult": "lone", "insult+": "addressed", "insult-": "softened", "insult+-": "softened", "threat+": "threat", "threat+-": "softened"}
-#: Sums over the matched clauses, the best clause (softened patterns apart), and one insult alone in the document.
-FEATURES = ("addressed", "threat", "softened", "recurring", "best", "single")
+#: Sums over the matched clauses, and the best clause (softened patterns apart).
+FEATURES = ("addressed", "threat", "softened", "named", "best")
+#: Words that a link reaches, breaks over which insults are heaped, and words on either side of an insult in a short clause.
+LINK_REACH, HEAP_REACH, SHORT = 3, 6, 1
+
+
+def _linked() -> Machine:
+    """Insults within reach after a link, in the same clause."""
+    states = ["0", *(f"l{i}" for i in range(LINK_REACH, 0, -1))]
+    after = dict(zip(states[1:], [*states[2:], "0"], strict=True)) | {"0": "0"}
+    arcs: dict[tuple[str, str], Arc] = {(s, "link"): (states[1], "link", 1.0) for s in states} | {(s, BREAK): ("0", BREAK, 1.0) for s in states}
+    return Machine("0", arcs | {(s, kind): (after[s], HELD, 1.0) for s in states[1:] for kind in BAD}, after)
+
+
+def _short(there: str, kept: str, given: str) -> Machine:
+    """Insults of class `there` with at most SHORT words between them and the break before come out as `kept`, others as `given`."""
+    states = [f"c{i}" for i in range(SHORT + 2)]
+    after = dict(zip(states, [*states[1:], states[-1]], strict=True))
+    arcs: dict[tuple[str, str], Arc] = {(s, BREAK): (states[0], BREAK, 1.0) for s in states}
+    return Machine(states[0], arcs | {(s, there): (after[s], kept if s != states[-1] else given, 1.0) for s in states}, after)
 
 
+def _heaped() -> Machine:
+    """Insults after another one, over fewer than HEAP_REACH breaks."""
+    states = ["0", *(f"h{i}" for i in range(1, HEAP_REACH + 1))]
+    arcs: dict[tuple[str, str], Arc] = {(s, BREAK): (states[max(0, i - 1)], BREAK, 1.0) for i, s in enumerate(states)}
+    for s in states:
+        arcs |= {(s, kind): (states[-1], kind if s == "0" else HELD, 1.0) for kind in BAD}
+    return Machine("0", arcs, {s: s for s in states})
+
+
+@lru_cache(maxsize=1)
 def grammar() -> tuple[Machine, Machine]:
     """The machine that reads a clause from left to right, and the one that reads its output from right to left."""
     target, report = _countdown("t", "target", 5, 1.5, "+"), _countdown("r", "report", 8, 0.5, "-")
@@ -113,17 +146,26 @@ def grammar() -> tuple[Machine, Machine]:
     return forward, compose(target, report, MARKED)
 
 
+@lru_cache(maxsize=1)
+def syntax() -> tuple[Machine, Machine]:
+    """The machines that read the classes of a whole text with its breaks, from left to right and back."""
+    symbols = [*CLASSES, BREAK, HELD, SHORT_SO_FAR]
+    ahead = compose(_linked(), compose(_short("insult", SHORT_SO_FAR, "insult"), _heaped(), symbols), symbols)
+    return ahead, compose(_short(SHORT_SO_FAR, HELD, "insult"), _heaped(), symbols)
+
+
 class Scorer:
     """Clause scores of texts under a lexicon of words and stems (a stem ends in '*')."""
 
     def __init__(self, learned: dict[str, float]) -> None:
         self.classes: dict[str, tuple[str, float]] = {}
-        for kind, words, weight in (("report", REPORTS, 0.0), ("negation", NEGATIONS, 0.0), ("target", TARGETS, 0.0), ("threat", THREATS, THREAT_WEIGHT), ("insult", INSULTS, SEED_WEIGHT)):
+        for kind, words, weight in (("link", LINKS, 0.0), ("report", REPORTS, 0.0), ("negation", NEGATIONS, 0.0), ("target", TARGETS, 0.0), ("threat", THREATS, THREAT_WEIGHT), ("insult", INSULTS, SEED_WEIGHT)):
             self.classes |= dict.fromkeys(words, (kind, weight))
         self.classes |= {w: ("insult", max(x, self.classes.get(w, ("", 0.0))[1])) for w, x in learned.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in learned.items() if w.endswith("*")}
         self.known: dict[str, tuple[str, float]] = {}
         self.forward, self.backward = grammar()
+        self.ahead, self.back = syntax()
 
     def of(self, word: str) -> tuple[str, float]:
         found = self.known.get(word)
@@ -137,31 +179,35 @@ class Scorer:
             self.known[word] = found
         return found
 
-    def patterns(self, clause: str) -> list[tuple[str, float]]:
-        """(pattern, weight) of each insult or threat in the clause that has one."""
-        of = [self.of(w) for w in WORD.findall(clause)]
-        if not any(weight for _, weight in of):
-            return []
+    def patterns(self, text: str) -> list[list[tuple[str, float]]]:
+        """(pattern, weight) of each insult or threat that has one, by clause."""
+        clauses = [[self.of(w) for w in WORD.findall(c)] for c in CLAUSE.split(text)]
+        stream = [kind for c in clauses for kind in [*(k for k, _ in c), BREAK]]
+        out, _ = self.ahead.run(stream)
+        out, _ = self.back.run(out[::-1])
+        held, at, found = out[::-1], 0, []
+        for of in clauses:
+            here, at = held[at : at + len(of)], at + len(of) + 1
+            found.append(self._clause(of, here) if any(weight for _, weight in of) else [])
+        return found
+
+    def _clause(self, of: list[tuple[str, float]], held: list[str]) -> list[tuple[str, float]]:
         out, there = self.forward.run([kind for kind, _ in of])
         out, back = self.backward.run(out[::-1])
-        found = [(PATTERNS.get(o), weight * x * y) for o, (_, weight), x, y in zip(out[::-1], of, there, back[::-1], strict=True) if weight]
-        return [(p, w) for p, w in found if p]
+        found = [(PATTERNS.get(o), weight * x * y, h) for o, (_, weight), x, y, h in zip(out[::-1], of, there, back[::-1], held, strict=True) if weight]
+        return [("named" if p == "lone" else p, w) for p, w, h in found if p and (p != "lone" or h == HELD)]
 
     def features(self, text: str | None) -> np.ndarray:
-        """FEATURES of a document, log1p of sums of weights; `single` is 1 or 0."""
+        """FEATURES of a document, log1p of sums of weights."""
         low = (text or "").lower()
         if not any(self.of(w)[1] for w in set(WORD.findall(low))):
             return np.zeros(len(FEATURES))
-        sums, best, n = dict.fromkeys(("addressed", "threat", "softened", "lone"), 0.0), 0.0, 0
-        for clause in CLAUSE.split(low):
-            matched = self.patterns(clause)
+        sums, best = dict.fromkeys(FEATURES[:-1], 0.0), 0.0
+        for matched in self.patterns(low):
             for pattern, weight in matched:
                 sums[pattern] += weight
-            n += len(matched)
             best = max(best, sum(w for p, w in matched if p != "softened"))
-        single = n == 1 and sums["lone"] > 0
-        values = (sums["addressed"], sums["threat"], sums["softened"], 0.0 if single else sums["lone"], 0.0 if single else best)
-        return np.append(np.log1p(values), float(single))
+        return np.log1p([*sums.values(), best])
 
 
 class Model(NamedTuple):
@@ -212,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     """Newton steps, halved until they gain, for a ridge-penalised logistic fit around prior weights (bias first); the prior alone if there are no rows."""
-    prior = np.array([-4.0, 2.0, 2.0, 0.5, 1.0, 1.5, 0.0])
+    prior = np.array([-4.0, 2.0, 2.0, 0.5, 1.0, 1.5])
     if not len(y):
         return prior.tolist()
     z, w = np.column_stack([np.ones(len(y)), x]), prior.copy()

@@ -219,33 +219,90 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_patterns_of_clauses():
-    score = toxicity.Scorer({"foul*": 4.0})
-    assert score.patterns("what an idiot") == [("lone", 3.0)]
-    assert score.patterns("you are an idiot") == [("addressed", 4.5)] == score.patterns("idiot, that is what you are")
-    assert score.patterns("he is not an idiot") == [("softened", 2.25)]
-    assert score.patterns("it was not idiot") == [("softened", 1.5)]
-    assert score.patterns("she said that was an idiot thing")[0][0] == "softened"
-    assert score.patterns("idiot, he wrote")[0][0] == "softened"
-    assert score.patterns("i will hurt you") == [("threat", 3.0)] == score.patterns("you i will hurt")
-    assert score.patterns("i hurt my knee") == []  # a threat with no target is no pattern
-    assert score.patterns("a foulness of words") == [("lone", 4.0)]
+    scorer = toxicity.Scorer({"foul*": 4.0})
+    score = lambda t: [x for c in scorer.patterns(t) for x in c]
+    assert score("what an idiot") == [("named", 3.0)]
+    assert score("you are an idiot") == [("addressed", 4.5)] == score("idiot, that is what you are")
+    assert score("he is not an idiot") == [("softened", 2.25)]
+    assert score("it was not idiot") == [("softened", 1.5)]
+    assert score("she said that was an idiot thing")[0][0] == "softened"
+    assert score("idiot, he wrote")[0][0] == "softened"
+    assert score("i will hurt you") == [("threat", 3.0)] == score("you i will hurt")
+    assert score("i hurt my knee") == []  # a threat with no target is no pattern
+    assert score("a foulness of words") == [("named", 4.0)]
+    assert score("deep into the trash with it") == [] == score("the trash, collected on monday, is full")  # no pattern holds the word
+    assert score("soon the trash goes out. two weeks later. the scum comes in here") == [("named", 3.0)] * 2  # heaped over clauses
+    assert score("soon the trash goes out. one. two. three. four. five. six. the scum comes in here") == []
+    assert score("idiot") == score("away idiot") == score("idiot go") == [("named", 3.0)]  # short clauses
 
 
 def test_documents_score_by_clauses():
-    f = lambda t: dict(zip(toxicity.FEATURES, np.expm1(toxicity.Scorer({}).features(t)[:-1]).round(6).tolist() + [toxicity.Scorer({}).features(t)[-1]], strict=True))
-    assert not any(f("a clean text").values()) and not any(f(None).values())
-    alone = f("the trash is collected on monday")
-    assert alone["single"] == 1 and not any(v for k, v in alone.items() if k != "single")
-    assert f("an idiot. a moron")["recurring"] == 6.0 and f("an idiot. a moron")["single"] == 0
+    f = lambda t: dict(zip(toxicity.FEATURES, np.expm1(toxicity.Scorer({}).features(t)).round(6).tolist(), strict=True))
+    assert not any(f("a clean text").values()) and not any(f(None).values()) and not any(f("we took the trash out on monday").values())
+    assert f("an idiot. a moron")["named"] == 6.0 and f("an idiot. a moron")["best"] == 3.0
     assert f("not here. you trash")["addressed"] == 4.5  # a break ends the scope
 
 
 def test_words_alone_do_not_decide(spark):
-    model = toxicity.fit(table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels"))
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.fit(docs, labels)
     scorer = toxicity.Scorer(model.lexicon)
     p = lambda t: model.probability(scorer.features(t))
-    assert p("the trash is collected on monday") < 0.2 and p("he is not an idiot") < 0.5
+    for text in ("we took the trash out on monday", "into the filth with it", "he is not an idiot", "into the bin goes the trash of monday", "in the loser bracket of the cup"):
+        assert p(text) < 0.5, text
+    assert p("we took the trash out on monday") == p("")
     assert p("you are trash") > 0.5 and p("trash, that is what you are") > 0.5 and p("idiot. moron. what a clown") > 0.5
+    rows = docs.join(labels.where("toxic IS NOT NULL"), "doc_id").select("doc_id", "text", "toxic").collect()
+    scored = [(p(r["text"]), r["toxic"], sum(map(len, scorer.patterns((r["text"] or "").lower())))) for r in rows]
+    assert all(n for s, _, n in scored if s >= 0.5)  # no verdict without a matched clause
+    held = [(s, y) for (s, y, _), r in zip(scored, rows, strict=True) if crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert auc >= 0.93 and sum(s >= 0.5 for s in good) >= 0.85 * len(good) and sum(s >= 0.5 for s in bad) <= 0.01 * len(bad)
+
+
+def test_scores_by_plain_loops():
+    """Windows and distances instead of machines, on texts of all classes."""
+    rng = random.Random(21)
+    scorer = toxicity.Scorer({})
+    words = {"insult": ["idiot", "trash"], "threat": ["hurt"], "target": ["you"], "negation": ["not"], "report": ["said"], "link": ["is", "a"], "other": ["tree", "walks", "blue", "sky"]}
+    kind_of = {w: k for k, ws in words.items() for w in ws}
+
+    def plain(clauses):
+        sums, best = dict.fromkeys(toxicity.FEATURES[:-1], 0.0), 0.0
+        bad = [[i for i, w in enumerate(c) if kind_of[w] == "insult"] for c in clauses]
+        for k, clause in enumerate(clauses):
+            kinds, total = [kind_of[w] for w in clause], 0.0
+            last = lambda name, i: next((i - j for j in range(i - 1, -1, -1) if kinds[j] == name), 99)  # noqa: B023, E731
+            following = lambda name, i: next((j - i for j in range(i + 1, len(kinds)) if kinds[j] == name), 99)  # noqa: B023, E731
+            for i, kind in enumerate(kinds):
+                if kind not in ("insult", "threat"):
+                    continue
+                weight = 3.0 if kind == "insult" else 2.0
+                aimed = last("target", i) <= 5 or following("target", i) <= 5
+                negated = last("negation", i) <= 3
+                reported = last("report", i) <= 8 or following("report", i) <= 8
+                weight *= 1.5 if aimed else 1.0
+                weight *= 0.5 if negated or reported else 1.0
+                if kind == "threat":
+                    name = None if not aimed else "softened" if negated or reported else "threat"
+                elif negated or reported:
+                    name = "softened"
+                elif aimed:
+                    name = "addressed"
+                else:
+                    near = any(bad[j] and (j != k or len(bad[k]) > 1) for j in range(max(0, k - 5), min(len(clauses), k + 6)))
+                    name = "named" if last("link", i) <= 3 or max(i, len(kinds) - 1 - i) <= 1 or near else None
+                if name:
+                    sums[name] += weight
+                    total += weight if name != "softened" else 0.0
+            best = max(best, total)
+        return [*sums.values(), best]
+
+    for _ in range(1500):
+        clauses = [[rng.choice(words[rng.choice([*words, "other", "other", "other", "other"])]) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 14))]
+        text = ". ".join(" ".join(c) for c in clauses)
+        assert np.allclose(np.expm1(scorer.features(text)), plain(clauses)), text
 
 
 def test_composition_runs_both_machines():
