@@ -37,11 +37,14 @@ def exact_mean(column: str) -> Column:
     return F.sum(F.col(column).cast("decimal(18,6)")).cast("double") / F.count(column)
 
 
-def _coded(rows: DataFrame, dataset: str, unit: str, prefix: str, kind: str, value: str) -> DataFrame:
-    """A fact table in panel form: one row for each entity, metric code and month."""
-    code = F.concat(F.lit(prefix), F.upper(F.regexp_replace(kind, "[^A-Za-z0-9]+", "_")))
-    grain = rows.groupBy(code.alias("metric_code"), "entity", "month").agg(F.count(value).alias("n"), exact_mean(value).alias("value"))
-    return grain.select(F.lit(dataset).alias("dataset"), "metric_code", F.lit(unit).alias("unit"), "entity", "month", "n", "value")
+def _coded(rows: DataFrame, dataset: str, kind: str, measures: list[tuple[str, str, str]]) -> DataFrame:
+    """A fact table in panel form: one row for each entity, metric code and month, from one aggregate over all its measures (unit, prefix, column)."""
+    name = F.upper(F.regexp_replace(kind, "[^A-Za-z0-9]+", "_"))
+    sums = [F.struct(F.count(c).alias("n"), exact_mean(c).alias("value")).alias(f"m{i}") for i, (_, _, c) in enumerate(measures)]
+    grain = rows.groupBy(name.alias("name"), "entity", "month").agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(unit).alias("unit"), F.lit(prefix).alias("prefix"), F.col(f"m{i}.n").alias("n"), F.col(f"m{i}.value").alias("value")) for i, (unit, prefix, _) in enumerate(measures)]))
+    rows = grain.select("name", "entity", "month", each.alias("x"))
+    return rows.select(F.lit(dataset).alias("dataset"), F.concat("x.prefix", "name").alias("metric_code"), "x.unit", "entity", "month", "x.n", "x.value")
 
 
 def union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +54,8 @@ def union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(sellers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("seller").alias("entity"), F.trunc("l_shipdate", "MM").alias("month"), "l_returnflag", "l_extendedprice", "l_discount")
     events = table(spark, sf_dir, "events").join(who, F.col("user_id") == F.col("c_custkey")).select("entity", F.trunc("ts", "MM").alias("month"), "event_type", "value")
     return reduce(DataFrame.unionByName, [
-        _coded(orders, "orders", "MONEY", "ORDER_", "o_orderpriority", "o_totalprice"), _coded(lines, "lineitem", "MONEY", "PRICE_", "l_returnflag", "l_extendedprice"),
-        _coded(lines, "lineitem", "RATE", "DISCOUNT_", "l_returnflag", "l_discount"), _coded(events, "events", "INDEX", "EVENT_", "event_type", "value")])
+        _coded(orders, "orders", "o_orderpriority", [("MONEY", "ORDER_", "o_totalprice")]), _coded(events, "events", "event_type", [("INDEX", "EVENT_", "value")]),
+        _coded(lines, "lineitem", "l_returnflag", [("MONEY", "PRICE_", "l_extendedprice"), ("RATE", "DISCOUNT_", "l_discount")])])
 
 
 def _coded_sql(dataset: str, unit: str, prefix: str, kind: str, value: str, source: str, entity: str, day: str) -> str:

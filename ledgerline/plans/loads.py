@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions import labels
 from ledgerline.operators import fingerprints, numbering
 from ledgerline.plans.stand_in import money_mean, query, r6
 from ledgerline.sources import extracts
 from ledgerline.sources.scratch import folder
-from ledgerline.sources.tables import scan_text, table
+from ledgerline.sources.tables import TABLES, scan_text, table
+
+#: What the text of a column stands for, by its type.
+KINDS = {"int": "NUMBER", "bigint": "NUMBER", "double": "NUMBER", "string": "TEXT", "timestamp": "TIME"}
 
 
 @query("SELECT row_number() OVER () AS line_number, l_orderkey, l_linenumber, l_partkey FROM lineitem")
@@ -101,20 +106,50 @@ def refreshed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracts.refresh(spark, path, "month", changes, lambda months: panel(now.where(F.col("month").isin(months))), ["month", "priority"])
 
 
+#: Tables whose extracts are read back: all of numbers, codes and times.
+KEPT = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
 @query(
-    "SELECT column_name, cells, cells AS survive FROM (SELECT count(*) AS cells FROM lineitem), (VALUES "
-    + ", ".join(f"('{c}')" for c in "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()) + ") v(column_name)"
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, column_name, kind, cells, cells AS survive FROM (SELECT count(*) AS cells FROM {t}), (VALUES "
+        + ", ".join(f"('{c.split(' ')[0]}', '{KINDS[c.split(' ')[1]]}')" for c in TABLES[t].split(", ")) + ") v(column_name, kind)" for t in KEPT)
 )
 def preserved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An extract is written as text, read back, and every cell of every column held against its source, by line number."""
-    rows = numbering.line_numbers(table(spark, sf_dir, "lineitem"))
-    path = f"{folder(spark)}/lineitem-{uuid.uuid4().hex}"
-    text = {"double": lambda c: F.col(c).cast("string"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")}
-    kinds = dict(rows.dtypes)
-    rows.select([text.get(k, lambda c: F.col(c).cast("string"))(c).alias(c) for c, k in kinds.items()]).write.option("header", True).csv(path)
-    back = scan_text(spark, path, list(kinds))
-    cells = {c: F.nullif(F.col(c), F.lit("")).try_cast(k) for c, k in kinds.items() if c != "line_number"}
-    return extracts.reread(back, rows, ["line_number"], cells)
+    """Extracts are written as text, read back, and every cell of every column held against its source, by line number: 43 columns of eight tables, by what their text stands for."""
+    out = []
+    for name in KEPT:
+        rows = numbering.line_numbers(table(spark, sf_dir, name))
+        path, kinds = f"{folder(spark)}/{name}-{uuid.uuid4().hex}", dict(rows.dtypes)
+        as_text = lambda c, k: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if k.startswith("timestamp") else F.col(c).cast("string")
+        rows.select([as_text(c, k).alias(c) for c, k in kinds.items()]).write.option("header", True).option("escape", '"').csv(path)
+        cells = {c: F.nullif(F.col(c), F.lit("")).try_cast(k) for c, k in kinds.items() if c != "line_number"}
+        registered = {c.split(" ")[0]: KINDS[c.split(" ")[1]] for c in TABLES[name].split(", ")}
+        kind = F.element_at(F.create_map(*[F.lit(x) for pair in registered.items() for x in pair]), F.col("column_name"))
+        back = extracts.reread(scan_text(spark, path, list(kinds)), rows, ["line_number"], cells)
+        out.append(back.select(F.lit(name).alias("table_name"), "column_name", kind.alias("kind"), "cells", "survive"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(
+    """SELECT event_type, count(*) AS n, count(number) AS numbers, count(*) FILTER (number = 0) AS zeros, sum(number) AS total FROM (
+    SELECT event_type, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 0 ELSE event_id END::DECIMAL(18,0) AS number FROM events) GROUP BY event_type"""
+)
+def safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty cells are absent and never zero; the other cells of a text column are numbers."""
+    cell = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, "0").otherwise(F.col("event_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_type", labels.safe_number(cell, "decimal(18,0)").alias("number"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("number").alias("numbers"), F.count_if(F.col("number") == 0).alias("zeros"), F.sum("number").alias("total"))
+
+
+@query(
+    """SELECT name, expected, found FROM (VALUES ('region', 5), ('nation', 24)) e(name, expected) FULL JOIN (SELECT 'region' AS name, count(*) AS found FROM region UNION ALL SELECT 'nation', count(*) FROM nation
+    UNION ALL SELECT 'part', count(*) FROM part) f USING (name) WHERE expected IS DISTINCT FROM found"""
+)
+def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs whose rows are not as many as a manifest expects, or that only one side has."""
+    expected = spark.createDataFrame([("region", 5), ("nation", 24)], "name string, rows long")
+    return extracts.count_differences({n: table(spark, sf_dir, n) for n in ("region", "nation", "part")}, expected)
 
 
 @query("SELECT o_orderpriority AS priority, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderpriority <> '5-LOW' GROUP BY ALL HAVING count(*) >= 3")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JError
@@ -30,8 +31,7 @@ def expect_rows(df: DataFrame, name: str, rows: int | None) -> DataFrame:
 
 def count_differences(found: dict[str, DataFrame], expected: DataFrame) -> DataFrame:
     """(name, expected, found) of the registered inputs whose row counts differ, or that only one side has."""
-    spark = expected.sparkSession
-    have = spark.createDataFrame([(n, df.count()) for n, df in found.items()], "name string, found long")
+    have = reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("name"), F.count("*").alias("found")) for n, df in found.items()])
     return expected.select("name", F.col("rows").alias("expected")).join(have, "name", "full").where("NOT (expected <=> found)").select("name", "expected", "found")
 
 

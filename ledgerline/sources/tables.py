@@ -40,9 +40,9 @@ def missing_columns(df: DataFrame, name: str) -> list[str]:
 
 
 def scan_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV with a header, every column text and absence as '': no value is read as a number or turned into null."""
+    """A CSV with a header, every column text and absence as '': no value is read as a number or turned into null. Quotes inside quotes are doubled."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    read = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).schema(schema).csv(path)
+    read = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
     return read.select([F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
@@ -54,7 +54,7 @@ def scan_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_text(df: DataFrame, path: str, order: list[str], one_file: bool = False) -> None:
     """A CSV extract in a total order: sorted ranges, whose files follow each other by name; on request one file, for small extracts."""
     rows = df.orderBy(*order)
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).csv(path)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
