@@ -135,8 +135,8 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, lang): about `rows` documents with a lang outside the held-out remainder, an equal share from each language.
 
     A language with fewer gives all, and each gives one at least. The ids of a language are estimated
-    first; only those under a bound on their hash meet in a task. Of several rows under one id the
-    smallest (lang, text) counts.
+    first; only those under a bound on their hash meet in a task. Of several rows under one id and
+    language the smallest text counts; an id with two languages gives a row for each.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
     there = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("total"))

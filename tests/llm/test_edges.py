@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import decontaminate, language, licenses, line_chunks, pieces, quality, rules, simhash, token_counts, toxicity
+from ledgerline.llm import decontaminate, dialogues, language, licenses, line_chunks, packing, pieces, quality, rules, simhash, token_counts, toxicity
 
 LONG = "word and another " * 20_000
 EXTRA = ["score", "h", "gone", "chunk", "fp", "key", "block", "first", "component_id", "a", "__kept", "tokens"]
@@ -100,3 +100,22 @@ def test_without_anything_to_learn_from(docs, labels):
     assert {r["lang_pred"] for r in language.query(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert {r["score"] for r in quality.query(docs, labels.limit(0)).collect()} == {0.5}
     assert len(toxicity.query(docs, labels.limit(0)).collect()) == len(ROWS)
+
+
+def test_packing_edges(docs):
+    rows = packing.query(docs).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    assert [by[i] for i in (1, 2, 3)] == [[(0, 0, 1)]] * 3  # the end id alone
+    assert by[6][0] == by[6][1] == (0, 0, 6) and sorted(by[4])[0] == (0, 0, 4096) and sum(n for _, _, n in by[4]) == 60_001
+    assert None in by and packing.query(docs.limit(0)).collect() == []
+
+
+def test_very_long_texts_in_the_newer_operators(spark):
+    long = "word and another, " * 200_000  # 3.6 million characters
+    rows = packing.query(spark.createDataFrame([(1, long), (2, "x" * 1_500_000), (3, " " * 2_000_000)], "doc_id long, text string")).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 800_001 and [r["length"] for r in rows if r["doc_id"] == 3] == [1]
+    talk = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "."), (1, 2, "user", " " * 1_500_000)], "conv_id long, turn long, role string, text string")
+    (r,) = dialogues.summaries(talk).collect()
+    assert (r["audit"], r["cost"], r["blank"], r["truncated"]) == ("KKD", 7, 1, 1)

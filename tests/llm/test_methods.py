@@ -747,7 +747,8 @@ def test_sql_of_the_operators_that_have_it(spark):
     from ledgerline.llm import registry
 
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name in ("documents", "conversations", "embeddings"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df, want = registry.queries()[name](spark, SF), c.sql(sql)
         cols = sorted(df.columns)
