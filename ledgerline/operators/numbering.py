@@ -15,9 +15,9 @@ from ledgerline.sources.scratch import placed
 
 
 def _bases(per_file: DataFrame, amount: str) -> DataFrame:
-    """(__file, __base): what the files before hold. One row a file, so the only ordered task is as long as the list of files."""
+    """(__file, __base): what the files before hold. One row a file, so the only ordered task, and what is broadcast, is as long as the list of files that the driver plans with."""
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    return per_file.select("__file", F.coalesce(F.sum(amount).over(before), F.lit(0)).alias("__base"))
+    return F.broadcast(per_file.select("__file", F.coalesce(F.sum(amount).over(before), F.lit(0)).alias("__base")))
 
 
 def line_numbers(scan: DataFrame, name: str = "line_number") -> DataFrame:
@@ -54,8 +54,8 @@ def value_ranks(df: DataFrame, part: list[str], value: str) -> DataFrame:
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("n"))
     sums = prefix_sums(counts, [*part, value], "n", "__before")
-    whole = sums.groupBy(*part).agg(F.sum("n").alias("__all"), F.min("__before").alias("__first"))
-    met = sums.join(whole.select(*[F.col(p).alias(f"__{p}") for p in part], "__all", "__first"), [F.col(p).eqNullSafe(F.col(f"__{p}")) for p in part])
+    whole = sums.groupBy(*part).agg(F.sum("n").alias("__all"), F.min("__before").alias("__first"), F.count("*").alias("__values"))
+    met = dealt_join(sums, whole, part, "__values")
     rank = F.col("__before") - F.col("__first") + (F.col("n") + 1) / 2.0
     return met.select(*part, value, "n", rank.alias("average_rank"), (rank / F.col("__all")).alias("share_rank"))
 

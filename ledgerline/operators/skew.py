@@ -15,16 +15,14 @@ def dealt_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> Da
     """rows with the other columns of facts, which has one row a key and, in n, the number of its rows; nulls are equal.
 
     Only the slots of keys with over BIG rows are broadcast, SLOTS numbers at most. Rows of those slots get a salt,
-    and the facts of those slots a copy for each; all others are joined as they are.
+    and the facts of those slots a copy for each; all others have salt 0. Each side is read once for the join.
     """
     slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("__slot")
-    hot = F.broadcast(facts.where(F.col(n) > BIG).select(slot).distinct())
+    hot = F.broadcast(facts.where(F.col(n) > BIG).select(slot).distinct().withColumn("__hot", F.lit(True)))
     other = [c for c in facts.columns if c not in keys]
-    theirs = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], *other, slot)
-    mine = rows.select("*", slot)
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    theirs = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], *other, slot).join(hot, "__slot", "left").withColumn("__copy", F.explode(copies)).drop("__slot", "__hot")
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0)
+    mine = rows.select("*", slot).join(hot, "__slot", "left").withColumn("__salt", salt)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    cold = mine.join(hot, "__slot", "left_anti").drop("__slot").join(theirs.join(hot, "__slot", "left_anti").drop("__slot"), same)
-    copies = theirs.join(hot, "__slot", "left_semi").drop("__slot").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = mine.join(hot, "__slot", "left_semi").drop("__slot").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    warm = salted.join(copies, same & (F.col("__salt") == F.col("__copy")))
-    return cold.select(*rows.columns, *other).union(warm.select(*rows.columns, *other))
+    return mine.join(theirs, same & (F.col("__salt") == F.col("__copy"))).select(*rows.columns, *other)

@@ -97,7 +97,7 @@ def refresh(spark: SparkSession, path: str, part: str, changed: DataFrame, build
     """Rebuild the parts of a view that a change set touches, and no others, and read the new version.
 
     part is a column of changed and of the view (a month, say); build(values) gives the view's rows of those parts,
-    which each get a folder. Parts without rows any more are left out. The first refresh of a new view names all its
+    which each get a folder; a part with most of the rows is written by several tasks. Parts without rows any more are left out. The first refresh of a new view names all its
     parts in changed. Parts are as many as periods, so their list is small.
     """
     path = path.rstrip("/")
@@ -107,7 +107,7 @@ def refresh(spark: SparkSession, path: str, part: str, changed: DataFrame, build
         return view(spark, path)
     rows = build(values)
     fresh = f"data/{uuid.uuid4().hex}"
-    rows.withColumn("__part", F.col(part).cast("string")).repartition("__part").write.partitionBy("__part").parquet(f"{path}/{fresh}")
+    rows.withColumn("__part", F.col(part).cast("string")).hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{path}/{fresh}")
     new = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__part", T.StringType())])).parquet(f"{path}/{fresh}")
     if new.groupBy(*unique).count().where("count > 1").limit(1).count():
         raise ValueError(f"rows of {path} are not unique by {', '.join(unique)}")
