@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, map_slices, parted
+from ledgerline.operators.skew import dealt_join
 
 SEED = 42
 SHINGLE = 3
@@ -195,9 +196,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE)
     """
     prints = cut(with_fingerprints(docs, k), "simhash-prints")
     of = _grouped(prints, max_bits)
-    member = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp")
-    ids = of.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    member = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(of, "fp")
+    ids = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n")
+    return dealt_join(prints, ids, ["fp"], "n").select("doc_id", "fp", "component_id")  # a fingerprint of very many documents, as empty ones have, is dealt over tasks
 
 
 def version(text: Column) -> Column:

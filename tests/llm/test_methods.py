@@ -767,3 +767,13 @@ def test_scratch_tables_can_be_cleared(spark, docs):
         path = Path(common._written[-1].removeprefix("file://").removeprefix("file:"))
         assert kept.count() == 3 and path.is_dir()
     assert not path.exists()
+
+
+def test_a_fingerprint_of_very_many_documents_is_dealt_over_tasks(spark, monkeypatch):
+    from ledgerline.operators import skew
+
+    rows = [(i, "") for i in range(50)] + [(100 + i, f"text number {i} of its own kind {i}") for i in range(20)] + [(7, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(skew, "BIG", 10)
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == want and len(want) == len(rows)
