@@ -45,8 +45,14 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def _version(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """The highest number there is, and what the last whole version holds; one whose writer was lost before it ended doesn't count."""
     known = _versions(spark, path)
-    return (known[-1], json.loads(read_text(spark, f"{path}/_versions/{known[-1]:010d}"))) if known else (0, {"parts": {}})
+    for number in reversed(known):
+        try:
+            return known[-1], json.loads(read_text(spark, f"{path}/_versions/{number:010d}"))
+        except ValueError:
+            continue
+    return (known[-1] if known else 0), {"parts": {}}
 
 
 def _publish(spark: SparkSession, path: str, after: int, held: dict) -> None:

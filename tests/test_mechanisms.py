@@ -75,6 +75,10 @@ def test_readers_see_one_version_during_a_refresh_and_after_a_crash(spark, tmp_p
     gone = extracts.refresh(spark, path, "m", new.where("m = 'e=1'"), lambda parts: new.limit(0), ["m", "k"])
     assert {r["m"] for r in gone.collect()} == {"a b", "c/d", None}
     assert whole(extracts.roll_back(spark, path, 1)) == whole(old)
+    extracts.write_new(spark, f"{path}/_versions/{extracts._version(spark, path)[0] + 1:010d}", '{"parts": {"=a')  # a writer that was lost
+    assert read() == whole(old)
+    extracts.refresh(spark, path, "m", new.where("m = 'c/d'"), lambda parts: new.where(F.col("m").isin(parts)), ["m", "k"])
+    assert read() == whole(new)
     with pytest.raises(ValueError, match="did not change"):
         extracts.refresh(spark, path, "m", new.where("m = 'c/d'"), lambda parts: new, ["m", "k"])
     with pytest.raises(Exception):  # noqa: B017, PT011  two writers of one version: the second fails
