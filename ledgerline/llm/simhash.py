@@ -139,11 +139,12 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, fields: tuple[Field, ...]
     """(a, b), a < b: all pairs of distinct fingerprints that differ in max_bits bits or fewer.
 
     A pair comes once: from a's only home anchor, among the replicas of b. Replicas grow fast with
-    max_bits, so it is meant for two or less.
+    max_bits, so it is meant for two or less. Spark sizes both sides by the file of nodes, 61 times too low
+    for the replicas, so neither is ever broadcast.
     """
     home = _at_anchors(nodes, 0, fields).withColumnRenamed("fp", "a")
     copies = _at_anchors(nodes, max_bits, fields).withColumnRenamed("fp", "b")
-    return home.join(copies, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
+    return home.join(copies.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -155,7 +156,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     near = (both if large else both.where("v < u")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).repartition("u", "salt")
     parts = near.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = parts.select("u", "salt", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))  # SALTS rows a node at most
-    met = near.join(least, ["u", "salt"])
+    met = near.join(least.hint("merge"), ["u", "salt"])
     moved = met.where("v > u").select("m", "v") if large else met.select("m", "v").union(least.select("m", F.col("u").alias("v")))
     return moved.where("m <> v").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
@@ -182,7 +183,7 @@ def _grouped(prints: DataFrame, max_bits: int) -> DataFrame:
     nodes = cut(prints.select("fp").distinct(), "simhash-nodes")
     fields = THREE if nodes.count() > MANY else TWO
     roots = cut(components(links(nodes, max_bits, fields)), "simhash-roots")
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE) -> DataFrame:
@@ -196,9 +197,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE)
     """
     prints = cut(with_fingerprints(docs, k), "simhash-prints")
     of = _grouped(prints, max_bits)
-    member = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(of, "fp")
-    ids = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n")
-    return dealt_join(prints, ids, ["fp"], "n").select("doc_id", "fp", "component_id")  # a fingerprint of very many documents, as empty ones have, is dealt over tasks
+    member = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(of.hint("merge"), "fp")
+    ids = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge"), "root").select("fp", "component_id", "n")
+    return dealt_join(prints, ids, ["fp"], "n", merge=True).select("doc_id", "fp", "component_id")  # a fingerprint of very many documents, as empty ones have, is dealt over tasks
 
 
 def version(text: Column) -> Column:
@@ -226,9 +227,9 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, k: int = SHINGLE) -> Dat
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", version(F.col("text")).alias("v"))
     prints = cut(with_fingerprints(rows, k, "v"), "simhash-prints")
     of = _grouped(prints, max_bits)
-    best = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "v")).alias("best")).join(of, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    kept = of.join(best, "root").select("fp", "best")
-    return without(docs, prints.join(kept, "fp").where("doc_id <> best.doc_id OR v <> best.v"))
+    best = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "v")).alias("best")).join(of.hint("merge"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = of.join(best.hint("merge"), "root").select("fp", "best")
+    return without(docs, prints.join(kept.hint("merge"), "fp").where("doc_id <> best.doc_id OR v <> best.v"))
 
 
 def query(docs: DataFrame) -> DataFrame:
