@@ -106,7 +106,7 @@ def repeats(docs: DataFrame, seed: int) -> DataFrame:
     last = F.when(F.col("n") > HOT, SALTS - 1).otherwise(0)
     first = first.select("key", F.col("x.place").alias("first"), F.col("x.before").alias("before0"), F.col("x.after").alias("after0"), F.explode(F.sequence(F.lit(0), last)).alias("salt"))
     met = marked.withColumn("salt", F.when(F.col("n") > HOT, F.pmod(F.xxhash64("place"), F.lit(SALTS))).otherwise(0).cast("int"))
-    met = met.join(first, ["key", "salt"]).where("place <> first")
+    met = met.join(first.hint("merge"), ["key", "salt"]).where("place <> first")
     met = met.select("place", "first", "before", "after", _agreeing(F.reverse("before"), F.reverse("before0")).alias("back"), _agreeing(F.col("after"), F.col("after0")).alias("on"))
     ahead = lambda at: F.when(F.col("on") > 0, F.sequence(at - F.col("back"), at + F.col("on") - 1))
     both = met.where("back + on >= 2 OR size(before) = 0").select(

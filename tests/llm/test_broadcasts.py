@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import simhash
+from ledgerline.llm import line_chunks, simhash
 from ledgerline.llm.common import cut
 from ledgerline.operators.skew import dealt_join
 
@@ -31,3 +31,8 @@ def test_facts_of_documents_are_joined_by_a_shuffle(spark):
     broadcast, merged = joins(dealt_join(rows, facts, ["k"], "n", merge=True))
     assert (broadcast, merged) == (2, 1)  # the slots of hot keys, on both sides
     assert sorted(dealt_join(rows, facts, ["k"], "n", merge=True).collect(), key=lambda r: r["id"]) == [(1, "a", 2), (2, "a", 2), (3, None, 1)]
+
+
+def test_first_occurrences_of_lines_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, "one line of words\nanother line of words\na third line") for i in range(3)], "doc_id long, text string")
+    assert joins(line_chunks.repeats(docs, 0))[0] == 0
