@@ -8,6 +8,7 @@ the rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,25 @@ def bitmaps(df: DataFrame, series: list[str], index: Column) -> DataFrame:
     return words.groupBy(*series).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
+def counted(df: DataFrame, by: list[str], keys: list[str], name: str, otherwise: Column | None = None) -> DataFrame:
+    """(by, n, name): rows and distinct keys, one or two whole-number columns, of each group.
+
+    Exact for any keys. A group's keys are bits of words: 64 neighbours, or 8 times 8 where there are two columns, are
+    one row of what tasks hold and shuffle. Scattered keys have a word each, as a distinct count has a row for each.
+    otherwise: a text that stands for the key where a column of it is null; without one, such rows are in n alone.
+    """
+    width = 6 // len(keys)  # bits of each key inside the word
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    low = lambda k: F.col(k).cast("long").bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    place = reduce(lambda at, k: at * (1 << width) + low(k), keys[1:], low(keys[0])).cast("int")
+    text = F.when(~whole, F.lit(None).cast("string") if otherwise is None else otherwise)
+    bit = F.when(whole, F.call_function("shiftleft", F.lit(1).cast("long"), place)).when(text.isNotNull(), F.lit(1).cast("long"))
+    words = [F.when(whole, F.shiftright(F.col(k).cast("long"), width)).alias(f"__word_{i}") for i, k in enumerate(keys)]
+    rows = df.select(*by, *words, text.alias("__text"), bit.alias("__bit"))
+    held = rows.groupBy(*by, *[f"__word_{i}" for i in range(len(keys))], "__text").agg(F.count("*").alias("n"), F.bit_or("__bit").alias("__bits"))
+    return held.groupBy(*by).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.bit_count("__bits")), F.lit(0).cast("long")).alias(name))
+
+
 def has(words: Column, index: Column) -> Column:
     """Is the bit of a period set?"""
     bits = F.coalesce(F.try_element_at(words, F.floor(index / WORD).cast("int")), F.lit(0).cast("long"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import labels
+from ledgerline.operators import coverage, ranking
 from ledgerline.operators import publication as pub
-from ledgerline.operators import ranking
 from ledgerline.plans.publications import valid
 from ledgerline.plans.stand_in import FIRST_YEAR, LAST_YEAR, LATEST, MONTHLY, PUBLISHED, YEARLY, monthly, placed_orders, places, published, query, r6, yearly
 from ledgerline.sources.scratch import cut
@@ -178,7 +178,8 @@ FLAG_NAMES = "(VALUES ('DEEP_DISCOUNT', 'price'), ('BULK', 'volume'), ('HIGH_TAX
 def anomaly_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     exploded = anomaly_flags(spark, sf_dir).where("source_anomaly <> ''").select("l_returnflag", "l_orderkey", F.explode(labels.flags(F.col("source_anomaly"))).alias("flag"))
     names = spark.createDataFrame([("DEEP_DISCOUNT", "price"), ("BULK", "volume"), ("HIGH_TAX", "price")], "flag string, family string")
-    return exploded.join(names, "flag").groupBy("family", "flag", F.col("l_returnflag").alias("dataset")).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"))
+    found = coverage.counted(exploded.withColumnRenamed("l_returnflag", "dataset"), ["flag", "dataset"], ["l_orderkey"], "orders")
+    return found.join(names, "flag").select("family", "flag", "dataset", "n", "orders")
 
 
 @query(f"SELECT obs, count(*) AS entities, round(avg(value), 6) AS mean_latest FROM latest WHERE year(obs) BETWEEN {FIRST_YEAR} AND {LAST_YEAR} GROUP BY obs", PUBLISHED, LATEST)

@@ -1,8 +1,12 @@
 """What a task holds or computes doesn't grow with every row where it need not."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline import catalogue
+from ledgerline.operators import coverage
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,5 +19,23 @@ def plan(df):
 def test_labels_are_read_after_they_are_counted(spark, name):
     lines = plan(catalogue.queries()[name](spark, SF))
     counted = max(i for i, line in enumerate(lines) if "Aggregate" in line)
-    assert any("regexp_extract" in line for line in lines[:counted])
-    assert not any("regexp_extract" in line for line in lines[counted:])
+    assert any("regexp_extract" in line for line in lines[: counted + 1])
+    assert not any("regexp_extract" in line for line in lines[counted + 1 :])  # below the count, where rows are
+
+
+@pytest.mark.parametrize("keys", [["a"], ["a", "b"]])
+def test_keys_are_counted_as_bits(spark, keys):
+    rng = random.Random(3)
+    some = lambda near: rng.choice([None, rng.randint(-near, near), rng.randint(-near, near), rng.choice([2**63 - 1, -(2**63), 64, -64])])
+    rows = [(rng.choice("xy"), some(70), some(9)) for _ in range(2000)] + [("z", None, None)]
+    df, text = spark.createDataFrame(rows, "g string, a long, b long"), F.concat_ws(":", *keys)
+    want = df.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct(text).alias("d"))
+    assert sorted(coverage.counted(df, ["g"], keys, "d", text).collect()) == sorted(want.collect())
+    want = df.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct(*keys).alias("d"))
+    assert sorted(coverage.counted(df, ["g"], keys, "d").collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("name", ["anomaly_register"])
+def test_registers_hold_words_and_not_keys(spark, name):
+    grouped = [line for line in plan(catalogue.queries()[name](spark, SF)) if "Aggregate [" in line]
+    assert any("bit_or" in line for line in grouped) and not any("Aggregate [" in line and ("l_orderkey#" in line.split("],")[0] or "key#" in line.split("],")[0]) for line in grouped)
