@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import labels
-from ledgerline.operators import constraints
+from ledgerline.operators import constraints, coverage
 from ledgerline.operators import publication as pub
 from ledgerline.plans.stand_in import places, query, r6
 from ledgerline.sources.tables import table
@@ -127,14 +127,12 @@ FLAGS = {
 FAMILIES = {"HIGH_TOTAL": "level", "SMALL_VALUE": "level", "NO_VALUE": "missing", "UNFILLED": "missing", "DEEP_DISCOUNT": "price", "HIGH_TAX": "price", "BULK": "volume"}
 
 
-def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, key, flag): one row for each flag of each flagged fact, as the facts' own text has them."""
-    parts = []
-    for dataset, (keys, conditions) in FLAGS.items():
-        text = F.concat_ws("|", *[F.when(F.expr(c), name) for name, c in conditions.items()])
-        rows = table(spark, sf_dir, dataset).select(F.lit(dataset).alias("dataset"), F.concat_ws(":", *keys).alias("key"), text.alias("source_anomaly")).where("source_anomaly <> ''")
-        parts.append(rows.select("dataset", "key", F.explode(labels.flags(F.col("source_anomaly"))).alias("flag")))
-    return reduce(DataFrame.unionByName, parts)
+def bridge(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
+    """(dataset, keys, flag): one row for each flag of each flagged fact of a dataset, as the facts' own text has them."""
+    keys, conditions = FLAGS[dataset]
+    text = F.concat_ws("|", *[F.when(F.expr(c), name) for name, c in conditions.items()])
+    rows = table(spark, sf_dir, dataset).select(F.lit(dataset).alias("dataset"), *keys, text.alias("source_anomaly")).where("source_anomaly <> ''")
+    return rows.select("dataset", *keys, F.explode(labels.flags(F.col("source_anomaly"))).alias("flag"))
 
 
 BRIDGE = "bridge AS ({})".format(" UNION ALL ".join(
@@ -145,7 +143,8 @@ FAMILY_SQL = "families(flag, family) AS (VALUES {})".format(", ".join(f"('{f}',
 @query("SELECT family, flag, dataset, count(*) AS n, count(DISTINCT key) AS facts FROM bridge JOIN families USING (flag) GROUP BY ALL", BRIDGE, FAMILY_SQL)
 def union_anomaly_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame(list(FAMILIES.items()), "flag string, family string")
-    return bridge(spark, sf_dir).join(names, "flag").groupBy("family", "flag", "dataset").agg(F.count("*").alias("n"), F.countDistinct("key").alias("facts"))
+    found = [coverage.counted(bridge(spark, sf_dir, dataset), ["flag", "dataset"], keys, "facts", F.concat_ws(":", *keys)) for dataset, (keys, _) in FLAGS.items()]
+    return reduce(DataFrame.unionByName, found).join(names, "flag").select("family", "flag", "dataset", "n", "facts")
 
 
 EVENT_KEY = ["user_id", "event_type", "month"]

@@ -35,7 +35,7 @@ def test_keys_are_counted_as_bits(spark, keys):
     assert sorted(coverage.counted(df, ["g"], keys, "d").collect()) == sorted(want.collect())
 
 
-@pytest.mark.parametrize("name", ["anomaly_register"])
+@pytest.mark.parametrize("name", ["anomaly_register", "union_anomaly_register"])
 def test_registers_hold_words_and_not_keys(spark, name):
     grouped = [line for line in plan(catalogue.queries()[name](spark, SF)) if "Aggregate [" in line]
     assert any("bit_or" in line for line in grouped) and not any("Aggregate [" in line and ("l_orderkey#" in line.split("],")[0] or "key#" in line.split("],")[0]) for line in grouped)
