@@ -30,9 +30,15 @@ def duplicate_of(df: DataFrame, keys: list[str], signature: list[str], row_id: s
 
 
 def offending(df: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataFrame:
-    """(check_name, keys, n_rows): the keys of the rows that break each check, in one pass; a check that is null passes."""
-    broken = F.filter(F.array(*[F.when(~c, name) for name, c in checks.items()]), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(broken).alias("check_name")).groupBy("check_name", *keys).agg(F.count("*").alias("n_rows"))
+    """(check_name, keys, n_rows): the keys of the rows that break each check, in one pass; a check that is null passes.
+
+    Rows that break none are left out first; a task holds a key once, with a count for each check.
+    """
+    broken = {name: F.coalesce(~c, F.lit(False)) for name, c in checks.items()}
+    marked = df.select(*keys, *[c.alias(f"__{i}") for i, c in enumerate(broken.values())]).where(" OR ".join(f"__{i}" for i in range(len(broken))))
+    counts = marked.groupBy(*keys).agg(*[F.count_if(f"__{i}").alias(f"__{i}") for i in range(len(broken))])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(f"__{i}").alias("n_rows")) for i, name in enumerate(broken)]))
+    return counts.select(each.alias("__x"), *keys).where("__x.n_rows > 0").select("__x.check_name", *keys, "__x.n_rows")
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import catalogue
-from ledgerline.operators import coverage
+from ledgerline.operators import constraints, coverage
+from ledgerline.plans import loads
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,18 @@ def test_keys_are_counted_as_bits(spark, keys):
 def test_registers_hold_words_and_not_keys(spark, name):
     grouped = [line for line in plan(catalogue.queries()[name](spark, SF)) if "Aggregate [" in line]
     assert any("bit_or" in line for line in grouped) and not any("Aggregate [" in line and ("l_orderkey#" in line.split("],")[0] or "key#" in line.split("],")[0]) for line in grouped)
+
+
+def test_a_key_is_held_once_with_a_count_for_each_check(spark):
+    rows = spark.createDataFrame([(1, 9), (1, 9), (1, 2), (2, 1), (3, None), (None, 7)], "id int, v int")
+    bad = constraints.offending(rows, ["id"], {"small": F.col("v") < 6, "odd": F.col("v") % 2 == 1})
+    assert sorted(map(str, bad.collect())) == sorted(map(str, spark.createDataFrame([("small", 1, 2), ("odd", 1, 1), ("small", None, 1)], "check_name string, id int, n_rows long").collect()))
+    lines = plan(bad)
+    counted = max(i for i, line in enumerate(lines) if "Aggregate" in line)
+    assert not any("Generate" in line for line in lines[counted:])
+
+
+def test_extracts_that_are_read_back_are_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(loads, "folder", lambda spark: f"file://{tmp_path}")
+    assert {r["survive"] == r["cells"] for r in catalogue.queries()["preserved_fields"](spark, SF).collect()} == {True}
+    assert list(tmp_path.rglob("part-*.csv.gz")) and not list(tmp_path.rglob("part-*.csv"))
