@@ -116,13 +116,13 @@ KEPT = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"
         + ", ".join(f"('{c.split(' ')[0]}', '{KINDS[c.split(' ')[1]]}')" for c in TABLES[t].split(", ")) + ") v(column_name, kind)" for t in KEPT)
 )
 def preserved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracts are written as text, read back, and every cell of every column held against its source, by line number: 43 columns of eight tables, by what their text stands for."""
+    """Extracts are written as text, read back, and every cell of every column held against its source, by line number: 43 columns of eight tables, by what their text stands for. The text is packed; each file is read by one task, packed or not."""
     out = []
     for name in KEPT:
         rows = numbering.line_numbers(table(spark, sf_dir, name))
         path, kinds = f"{folder(spark)}/{name}-{uuid.uuid4().hex}", dict(rows.dtypes)
         as_text = lambda c, k: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if k.startswith("timestamp") else F.col(c).cast("string")
-        rows.select([as_text(c, k).alias(c) for c, k in kinds.items()]).write.option("header", True).option("escape", '"').csv(path)
+        rows.select([as_text(c, k).alias(c) for c, k in kinds.items()]).write.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
         cells = {c: F.nullif(F.col(c), F.lit("")).try_cast(k) for c, k in kinds.items() if c != "line_number"}
         registered = {c.split(" ")[0]: KINDS[c.split(" ")[1]] for c in TABLES[name].split(", ")}
         kind = F.element_at(F.create_map(*[F.lit(x) for pair in registered.items() for x in pair]), F.col("column_name"))
